@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hunkwise.llm import decontaminate as _decontaminate
 from hunkwise.llm import packing as _packing
+from hunkwise.llm import simhash as _simhash
 from hunkwise.llm._shared import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -21,6 +26,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_pack": op7_pack,
 }
