@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hunkwise.llm import archive as _archive
 from hunkwise.llm import decontaminate as _decontaminate
 from hunkwise.llm import packing as _packing
 from hunkwise.llm import simhash as _simhash
@@ -25,10 +26,28 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _archive.archive_pages(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_pack": op7_pack,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, sha1(encode(coalesce(html, ''))) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+        ), t AS (
+            SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS top FROM p
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+            CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+        FROM t
+    """,
+}
