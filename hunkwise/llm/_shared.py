@@ -7,6 +7,7 @@ executor never costs more than the tasks it was running.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of steps whose tables are written."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         jvm = self.spark.sparkContext._jvm

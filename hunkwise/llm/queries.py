@@ -10,6 +10,7 @@ from hunkwise.llm import archive as _archive
 from hunkwise.llm import decontaminate as _decontaminate
 from hunkwise.llm import packing as _packing
 from hunkwise.llm import simhash as _simhash
+from hunkwise.llm import suffix as _suffix
 from hunkwise.llm._shared import table
 
 
@@ -17,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -33,6 +38,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_suffix": op2_suffix,
     "op6_decontaminate": op6_decontaminate,
     "op7_pack": op7_pack,
     "op10_warc": op10_warc,
