@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hunkwise.llm import archive as _archive
+from hunkwise.llm import chunks as _chunks
 from hunkwise.llm import decontaminate as _decontaminate
 from hunkwise.llm import packing as _packing
 from hunkwise.llm import simhash as _simhash
@@ -31,6 +33,11 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _chunks.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = _archive.archive_pages(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -41,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix": op2_suffix,
     "op6_decontaminate": op6_decontaminate,
     "op7_pack": op7_pack,
+    "op8_chunks": op8_chunks,
     "op10_warc": op10_warc,
 }
 
