@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hunkwise.llm import archive as _archive
 from hunkwise.llm import chunks as _chunks
 from hunkwise.llm import decontaminate as _decontaminate
+from hunkwise.llm import html_text as _html_text
 from hunkwise.llm import packing as _packing
 from hunkwise.llm import simhash as _simhash
 from hunkwise.llm import suffix as _suffix
@@ -38,6 +39,10 @@ def op8_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = _archive.archive_pages(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_pack": op7_pack,
     "op8_chunks": op8_chunks,
+    "op9_html": op9_html,
     "op10_warc": op10_warc,
 }
 
