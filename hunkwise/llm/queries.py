@@ -11,9 +11,11 @@ from hunkwise.llm import archive as _archive
 from hunkwise.llm import chunks as _chunks
 from hunkwise.llm import decontaminate as _decontaminate
 from hunkwise.llm import html_text as _html_text
+from hunkwise.llm import language as _language
 from hunkwise.llm import packing as _packing
 from hunkwise.llm import simhash as _simhash
 from hunkwise.llm import suffix as _suffix
+from hunkwise.llm import tokens as _tokens
 from hunkwise.llm._shared import table
 
 
@@ -25,6 +27,14 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -51,6 +61,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix": op2_suffix,
+    "op3_language": op3_language,
+    "op4_tokens": op4_tokens,
     "op6_decontaminate": op6_decontaminate,
     "op7_pack": op7_pack,
     "op8_chunks": op8_chunks,
