@@ -13,6 +13,7 @@ from hunkwise.llm import decontaminate as _decontaminate
 from hunkwise.llm import html_text as _html_text
 from hunkwise.llm import language as _language
 from hunkwise.llm import packing as _packing
+from hunkwise.llm import quality as _quality
 from hunkwise.llm import simhash as _simhash
 from hunkwise.llm import suffix as _suffix
 from hunkwise.llm import tokens as _tokens
@@ -35,6 +36,11 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _quality.judge(docs, _quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix": op2_suffix,
     "op3_language": op3_language,
     "op4_tokens": op4_tokens,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_pack": op7_pack,
     "op8_chunks": op8_chunks,
