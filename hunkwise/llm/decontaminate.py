@@ -109,21 +109,29 @@ def char_spans(text: bytes, hit: list[int]) -> list[tuple[int, int]]:
 _BUILT: dict[str, Scanner] = {}
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 256 * 1024, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document row: ``doc_id, n_words``, hit word indices, items found, hit spans."""
-    spark: SparkSession = docs.sparkSession
+def _shards(spark: SparkSession, benchmark: DataFrame, window: int, shard_bytes: int, item_col: str, item_text_col: str) -> list[tuple]:
+    """The items of each shard as a broadcast of about ``shard_bytes`` at most, with a tag of its content."""
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), text_bytes(item_text_col).alias("body"))
     total = items.agg(F.sum(F.octet_length("body"))).head()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), text_bytes(text_col).alias("_text"))
-    found = None
+    out = []
     for s in range(shards):
         part = items.where(F.pmod(F.xxhash64("name", "body"), F.lit(shards)) == s) if shards > 1 else items
-        held = [(r[0], bytes(r[1])) for r in part.collect()]  # at most about shard_bytes
+        held = [(r[0], bytes(r[1])) for r in part.collect()]
         tag = hashlib.sha1(repr((sorted(held, key=repr), window)).encode()).hexdigest()
-        one = rows.mapInArrow(_scan(spark.sparkContext.broadcast(held), tag, window), SCHEMA)
+        out.append((spark.sparkContext.broadcast(held), tag))
+    return out
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 256 * 1024, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Per document row: ``doc_id, n_words``, hit word indices, items found, hit spans."""
+    scanners = _shards(docs.sparkSession, benchmark, window, shard_bytes, item_col, item_text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), text_bytes(text_col).alias("_text"))
+    found = None
+    for held, tag in scanners:
+        one = rows.mapInArrow(_scan(held, tag, window), SCHEMA)
         found = one if found is None else found.unionByName(one)
-    if shards == 1:
+    if len(scanners) == 1:
         return found.drop("_id", "_th")
     merged = found.groupBy("_id", "_th", "doc_id").agg(
         F.max("n_words").alias("n_words"),
@@ -135,15 +143,20 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: i
     return back.join(merged, ["_id", "_th"]).drop("_id", "_th")
 
 
+def _scanner(held, tag: str, window: int) -> Scanner:
+    """The worker's automaton; only the last one is kept."""
+    if tag not in _BUILT:
+        _BUILT.clear()
+        _BUILT[tag] = Scanner(held.value, window)
+    return _BUILT[tag]
+
+
 def _scan(held, tag: str, window: int):
     names = [x.split()[0] for x in SCHEMA.split(", ")[:4]] + ["words", "items", "spans"]
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tag not in _BUILT:
-            _BUILT.clear()
-            _BUILT[tag] = Scanner(held.value, window)
-        scanner = _BUILT[tag]
+        scanner = _scanner(held, tag, window)
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for i in range(batch.num_rows):
@@ -167,3 +180,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
         "doc_id", "n_words", F.size("words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("words") > 0).alias("contaminated"), "spans",
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 256 * 1024, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents without a hit, with all their columns, in the order they come."""
+    at = docs.columns.index(text_col)
+    for held, tag in _shards(docs.sparkSession, benchmark, window, shard_bytes, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, tag=tag) -> Iterator[pa.RecordBatch]:
+            scanner = _scanner(held, tag, window)
+            for batch in batches:
+                texts = (t.as_py() or "" for t in batch.column(at))
+                good = [not scanner.scan(normalise(t.encode("utf-8", "surrogatepass")))[0] for t in texts]
+                yield batch.filter(pa.array(good, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
