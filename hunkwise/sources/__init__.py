@@ -1,0 +1 @@
+"""Where diffs come from, and where results go."""
