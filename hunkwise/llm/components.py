@@ -14,7 +14,7 @@ from hunkwise.llm._shared import Scratch
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
-    """``node, component`` for every node of ``links(u, v)``; the component is its least node.
+    """``node, component`` of the nodes of ``links(u, v)``; the component is its least node, which has no row.
 
     Self links are ignored, nulls are not allowed. No links give no rows.
     """

@@ -77,7 +77,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op6_decontaminate": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents
+        ), items AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS v FROM benchmark
+        ), sized AS (
+            SELECT item, v, least(10, len(v)) AS n FROM items WHERE len(v) > 0
+        ), windows AS (
+            SELECT DISTINCT item, n, array_to_string(v[i:i + n - 1], ' ') AS win
+            FROM (SELECT *, unnest(range(1, len(v) - n + 2)) AS i FROM sized)
+        ), places AS (
+            SELECT row, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+            FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM sized))
+        ), hits AS (
+            SELECT DISTINCT row, n, i, item FROM places JOIN windows USING (n, win)
+        ), words AS (
+            SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS k FROM hits) GROUP BY row
+        ), found AS (
+            SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY row
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (row) LEFT JOIN found USING (row)
+    """,
     "op10_warc": """
         WITH p AS (
             SELECT page_id, sha1(encode(coalesce(html, ''))) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages
