@@ -15,8 +15,10 @@ are first dealt to initial q-gram buckets:
    bucket. A bucket of up to ``SMALL`` contexts is refined in one task: positions
    get the bucket of their first bytes, then, with twice the bytes each time, the
    bucket of the pair (own bucket, bucket at a later offset), until buckets
-   stand for ``length`` bytes. Larger buckets are refined by counting each string's
-   hash under its bucket, which is aggregated before it is shuffled.
+   stand for ``length`` bytes. Larger buckets are refined by counts, which are
+   aggregated before they are shuffled: contexts are cut by the distance of their
+   strings to the pointer, each cut gets a bucket of the bytes that its strings share,
+   and of cuts that still differ within a bucket each string's hash is counted.
 
 Texts join by id and hash. Null texts are empty; texts shorter than ``length`` stay
 whole. Rows equal in id and text (null ids too) get the same result, and each
@@ -41,6 +43,8 @@ from hunkwise.llm._shared import Scratch, row_key, text_bytes
 GRAM = 40
 #: Different contexts of a bucket that are refined in one task.
 SMALL = 48
+#: Strings of a cut of a context in a larger bucket.
+CUT = 20
 #: Bytes of contexts refined together.
 TOGETHER = 1 << 20
 #: Bytes of a text handled together (with overlaps), so that memory is bounded.
@@ -173,10 +177,9 @@ def _context_task(length: int):
                 for r in refs:
                     a, z, rid, b = r["first"], r["last"], r["rid"], r["bucket"]
                     if r["large"]:
-                        for p in range(a, z + 1):
-                            rows.append((b, rid, p, p, r["edge"], None, xxhash.xxh3_64_intdigest(text[p : p + length], 11) - (1 << 63)))
+                        rows += [(*cut[:1], rid, *cut[1:3], r["edge"], None, *cut[3:]) for cut in _cuts(text, b, a, z, length)]
                     else:
-                        rows.append((b, rid, a, z, r["edge"], text[a : z + length], None))
+                        rows.append((b, rid, a, z, r["edge"], text[a : z + length], None, None))
                     if len(rows) >= 20_000:
                         yield _contexts(rows)
                         rows = []
@@ -186,8 +189,25 @@ def _context_task(length: int):
     return run
 
 
+def _cuts(text: bytes, bucket: int, first: int, last: int, length: int) -> Iterator[tuple]:
+    """``(bucket, first, last, context hash, string hashes)`` of the cuts of a context."""
+    within = np.frombuffer(text, np.uint8, length + last - first, first)
+    # The pointer: the leftmost q-gram with the bucket's hash that all strings hold.
+    inner = gram_hashes(within[last - first : length], GRAM).view(np.int64)
+    pointer = last + int(np.argmax(inner == bucket))
+    hash_of = lambda a, b, seed: xxhash.xxh3_64_intdigest(text[a:b], seed) - (1 << 63)
+    part = last
+    while part >= first:
+        # Strings that start ``lo`` to ``lo + CUT - 1`` bytes before the pointer.
+        lo = (pointer - part) // CUT * CUT
+        a = max(first, pointer - lo - CUT + 1)
+        core = hash_of(pointer - lo, pointer - lo - CUT + 1 + length, (bucket ^ lo) % (1 << 64))
+        yield core, a, part, hash_of(a, part + length, 7), [hash_of(p, p + length, 11) for p in range(a, part + 1)]
+        part = a - 1
+
+
 def _contexts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int64(), "rid": pa.int64(), "first": pa.int32(), "last": pa.int32(), "edge": pa.bool_(), "bytes": pa.binary(), "string": pa.int64()}
+    kinds = {"bucket": pa.int64(), "rid": pa.int64(), "first": pa.int32(), "last": pa.int32(), "edge": pa.bool_(), "bytes": pa.binary(), "context": pa.int64(), "strings": pa.list_(pa.int64())}
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
@@ -261,16 +281,21 @@ def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch, id_col: str
     listed = scratch.put(listed, "listed")
     # Repeats of a row give its contexts more than once, which the next steps drop.
     from_text = keyed.join(listed.hint("shuffle_hash"), ["_id", "_th"]).select("_t", "refs")
-    got = scratch.put(from_text.mapInArrow(_context_task(length), "bucket long, rid long, first int, last int, edge boolean, bytes binary, string long"), "bytes")
+    got = scratch.put(from_text.mapInArrow(_context_task(length), "bucket long, rid long, first int, last int, edge boolean, bytes binary, context long, strings array<long>"), "bytes")
     scratch.release()
     small = got.where("bytes is not null").select("bucket", "rid", "first", "edge", "bytes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     refined = small.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine_task(length), "rid long, first int, last int")
-    strings = got.where("bytes is null").select("bucket", "rid", "first", "last", "edge", "string")
-    strings = scratch.put(strings.distinct(), "strings")
+    cuts = scratch.put(got.where("bytes is null").select("bucket", "context", "rid", "first", "last", "edge", "strings").dropDuplicates(["bucket", "rid", "first"]), "cuts")
+    kept = F.struct("rid", "first", "last", "edge", "strings")
+    same = scratch.put(cuts.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min(kept).alias("rep")), "same")
+    again = cuts.where("edge").join(same.where("n > 1").select("bucket", "context"), ["bucket", "context"]).select("rid", "first", "last")
+    mixed = scratch.put(same.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("bucket"), "mixed")
+    strings = same.join(mixed, "bucket").select("bucket", (F.col("rep.edge") & (F.col("n") == 1)).alias("edge"), "rep.rid", F.posexplode("rep.strings").alias("at", "string"), F.col("rep.first").alias("from"))
+    strings = scratch.put(strings.select("bucket", "edge", "rid", (F.col("from") + F.col("at")).alias("first"), "string"), "strings")
     often = scratch.put(strings.groupBy("bucket", "string").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "string"), "often")
-    counted = strings.where("edge").join(often, ["bucket", "string"]).select("rid", "first", "last")
-    ranges = whole.unionByName(refined).unionByName(counted).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    counted = strings.where("edge").join(often, ["bucket", "string"]).select("rid", "first", F.col("first").alias("last"))
+    ranges = whole.unionByName(refined).unionByName(again).unionByName(counted).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     # Rows equal in id and text have equal ranges.
     return ranges.join(docs_of, "rid").groupBy("_id", "_th").agg(F.first("ranges").alias("ranges"))
 
@@ -279,7 +304,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row."""
     scratch = Scratch(docs.sparkSession, "suffix")
     ranges = scratch.put(repeated_ranges(docs, length, scratch, id_col, text_col), "ranges")
-    for name in ("pointers", "shared", "bytes", "strings"):
+    for name in ("pointers", "shared", "bytes", "cuts", "same", "strings"):
         scratch.drop(name)
     scratch.release()
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), text_bytes(text_col).alias("_t"))
