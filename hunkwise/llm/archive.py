@@ -39,8 +39,9 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-#: Records of a WARC file at most; bounds the memory of reading one back.
-FILE_RECORDS = 4000
+#: Payload bytes from which pages get files of their own, and records of a file of either kind
+#: at most; they bound the memory of reading a file back.
+LARGE_PAGE, FILE_RECORDS, LARGE_FILE_RECORDS = 256 * 1024, 1000, 16
 CRLF = b"\r\n"
 
 
@@ -164,13 +165,19 @@ def write_warc(pages: DataFrame, path: str, scratch: Scratch, min_bytes: int = 1
                     records.append(to_warc(rec, f"page:{page}", None if to is None else f"page:{to}", extra))
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
-    out = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    def write(part: DataFrame, records: int, folder: str) -> None:
+        out = part.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+        out.write.option("lineSep", "\r\n\r\n").option("compression", "none").option("maxRecordsPerFile", records).text(f"{path}/{folder}")
+
+    large = F.octet_length("payload") >= LARGE_PAGE
+    write(joined.where(~large), FILE_RECORDS, "pages")
+    if not pages.where(large).isEmpty():
+        write(joined.where(large), LARGE_FILE_RECORDS, "large")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the WARC files below ``path``, in no order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, valid boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
