@@ -7,15 +7,11 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from hunkwise.functions import columns as C
-from hunkwise.functions.diff import Diff
+from hunkwise.functions.diff import Diff, check
 from hunkwise.functions.elision import elision_line
 
-RESULT = StructType([StructField(n, StringType()) for n in ("cache_key", "smart_diff", "summary")])
-
-
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     """``diff_id, source, raw``: a diff per file. The id is a hash of the path, so it is stable."""
     files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("raw"))
@@ -105,14 +101,25 @@ def truncated(text: str, limit: int = 16 * 1024) -> str:
     return data[:limit].decode("utf-8", "ignore") + f"\n... (truncated, {len(data)} total bytes)"
 
 
-def result_text(smart_diff: str, summary: str, elision: str) -> str:
+# Rows that git paints as metadata.
+_META = (
+    "+++", "---", "diff ", "index ", "old mode ", "new mode ", "new file mode ", "deleted file mode ", "similarity index ", "dissimilarity index ",
+    "rename from ", "rename to ", "copy from ", "copy to ",
+)
+
+
+def paint(row: str, colours: dict[str, str]) -> str:
+    """A row in the colour of its class: meta, frag, new or old."""
+    kind = "meta" if row.startswith(_META) else "frag" if row.startswith("@@") else {"+": "new", "-": "old"}.get(row[:1])
+    colour = colours.get(kind or "")
+    return f"{colour}{row}\x1b[0m" if colour else row
+
+
+def result_text(smart_diff: str, summary: str, elision: str, colours: dict[str, str] | None = None) -> str:
     """Summary and elision as comments, then the reading diff."""
-    if not smart_diff.strip():
-        body = "(no meaningful change to read)\n"
-    else:
-        body = smart_diff
     notes = "".join(f"# {x}\n" for x in (summary, elision) if x)
-    return f"{notes}\n{body}" if notes else body
+    rows = smart_diff.rstrip("\n").split("\n") if smart_diff.strip() else ["(no meaningful change to read)"]
+    return notes + "\n" * bool(notes) + "".join(paint(r, colours or {}) + "\n" for r in rows)
 
 
 def with_elision(results: DataFrame) -> DataFrame:
@@ -132,5 +139,4 @@ def cached(diffs: DataFrame, cache: DataFrame, protocol: str, model: str) -> tup
 
 
 def readable(raw: str) -> bool:
-    d = Diff(raw)
-    return not d.unsupported and not d.problems
+    return not check(Diff(raw))

@@ -174,7 +174,7 @@ def test_moves():
     assert find_moves(Diff(third)) == []
     same = file("a.txt", hunk(["-" + x for x in BLOCK] + [" x"] + ["+" + x for x in BLOCK]))
     assert find_moves(Diff(same)) == []
-    assert columns(" \t x") == 10
+    assert columns(" \t ") == 9
     assert format_moves([Move(1, 2, 3, 4)] * 13).endswith("and 1 more")
 
 
