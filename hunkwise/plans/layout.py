@@ -15,15 +15,14 @@ from hunkwise.functions.diff import META_PREFIXES, NO_NEWLINE, SIGNATURE, SUFFIX
 
 def lines(diffs: DataFrame) -> DataFrame:
     """``diff_id, line_no, text, eol``: physical rows with their exact ends."""
-    parts = F.split("raw", "\n")
-    rows = diffs.where("raw <> ''").select("diff_id", F.size(parts).alias("n"), F.posexplode(parts).alias("at", "part"))
-    last = F.col("at") == F.col("n") - 1
-    crlf = ~last & F.col("part").endswith("\r")
-    return rows.where(~(last & (F.col("part") == ""))).select(
+    # Each match is a row with its end, so nothing but the matches leaves the explode.
+    rows = diffs.select("diff_id", F.posexplode(F.regexp_extract_all("raw", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))).alias("at", "part"))
+    crlf, ended = F.col("part").endswith("\r\n"), F.col("part").endswith("\n")
+    return rows.select(
         "diff_id",
         (F.col("at") + 1).alias("line_no"),
-        F.when(crlf, F.expr("left(part, length(part) - 1)")).otherwise(F.col("part")).alias("text"),
-        F.when(last, "").when(crlf, "\r\n").otherwise("\n").alias("eol"),
+        F.when(crlf, F.expr("left(part, length(part) - 2)")).when(ended, F.expr("left(part, length(part) - 1)")).otherwise(F.col("part")).alias("text"),
+        F.when(crlf, "\r\n").when(ended, "\n").otherwise("").alias("eol"),
     )
 
 

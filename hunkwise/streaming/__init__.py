@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """``diff_id, source, raw`` of files as they arrive."""
-    files = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder, wholetext=True)
     return files.select(F.xxhash64(F.input_file_name()).alias("diff_id"), F.input_file_name().alias("source"), F.col("value").alias("raw"))
 
 
