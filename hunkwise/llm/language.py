@@ -67,28 +67,35 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(sets: np.ndarray, langs: list[str], landmarks: int = 400, ridge: float = 1e-2) -> Model | None:
-    """One-versus-rest kernel ridge regression on Nyström features."""
+def _unit_sets(packed: np.ndarray) -> np.ndarray:
+    """Sets of packed bits as rows of length one."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    return x
+
+
+def fit(packed: np.ndarray, langs: list[str], landmarks: int = 400, ridge: float = 1e-2) -> Model | None:
+    """One-versus-rest kernel ridge regression on Nyström features; a row of ``packed`` has a set's bits."""
     names = sorted(set(langs))
     if not names:
         return None
-    x = sets.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
     # Landmarks: the first rows of each language in turn.
     seen: dict[str, int] = {}
     turn = []
     for i, name in enumerate(langs):
         seen[name] = seen.get(name, 0) + 1
         turn.append((seen[name], i))
-    marks = x[[i for _, i in sorted(turn)[:landmarks]]]
+    marks = _unit_sets(packed[[i for _, i in sorted(turn)[:landmarks]]])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # the landmarks' kernel to the power of -1/2
-    phi = (x @ marks.T).astype(np.float64) @ root
+    # The kernel with the landmarks, by blocks: the sets' bits are never unpacked all at once.
+    kernel = [_unit_sets(packed[lo : lo + 256]) @ marks.T for lo in range(0, len(langs), 256)]
+    phi = np.concatenate(kernel).astype(np.float64) @ root
     target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     weight = np.array([1 / seen[name] for name in langs])[:, None]  # languages count alike
     weight /= weight.mean()
-    w = np.linalg.solve(phi.T @ (phi * weight) + ridge * len(x) * np.eye(phi.shape[1]) / 10, phi.T @ (target * weight))
+    w = np.linalg.solve(phi.T @ (phi * weight) + ridge * len(langs) * np.eye(phi.shape[1]) / 10, phi.T @ (target * weight))
     return Model(names, (marks.T @ (root @ w)).astype(np.float32))
 
 
@@ -122,8 +129,8 @@ def learn(docs: DataFrame, per_lang: int = 1000, landmarks: int = 400, id_col: s
     rows.sort(key=lambda r: (r[0], bytes(r[1])[::-1]))
     if not rows:
         return None
-    sets = np.unpackbits(np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
-    return fit(sets, [r[0] for r in rows], landmarks)
+    packed = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(len(rows), -1)
+    return fit(packed, [r[0] for r in rows], landmarks)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
