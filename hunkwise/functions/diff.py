@@ -255,8 +255,11 @@ class Diff:
 
     def next_frame(self, i: int, kinds: frozenset | None = None) -> int:
         """The first frame row at or after ``i``, of the given kinds."""
-        at = bisect_right(self.frames, i - 1)
-        return next((f for f in self.frames[at:] if kinds is None or self.kind[f] in kinds), len(self.text))
+        frames = self.frames
+        for at in range(bisect_right(frames, i - 1), len(frames)):
+            if kinds is None or self.kind[frames[at]] in kinds:
+                return frames[at]
+        return len(self.text)
 
     @cached_property
     def hunks(self) -> list[Hunk]:

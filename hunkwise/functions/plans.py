@@ -196,6 +196,8 @@ class Suites:
         self.triple: dict[int, str] = {}  # the string open before a row
         self.depth: dict[int, int] = {}  # the brackets open before a new-side row
         for hunk in diff.hunks:
+            if hunk.language != "python":
+                continue
             triple, net = "", lx.ZERO
             for i in hunk.rows:
                 self.triple[i] = triple
@@ -462,6 +464,8 @@ def structure_problems(diff: Diff, state: State, edits: dict[int, list[Edit]], l
     go = language == "go"
     title, scan, pairs = ("Go", lx.go_tokens, lx.GO_PAIRS) if go else ("TypeScript", lx.ts_tokens, lx.TS_PAIRS)
     for hunk in diff.hunks:
+        if hunk.language != language:
+            continue
         for side, name in (("-", "old"), ("+", "new")):
             raw = _side(diff, hunk.number, language, side, None, edits)
             if not raw:
