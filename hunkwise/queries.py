@@ -14,6 +14,7 @@ from hunkwise import fixtures
 from hunkwise.functions import columns as C
 from hunkwise.operators import diffs as D
 from hunkwise.operators import native as N
+from hunkwise.plans import agent
 from hunkwise.plans import layout as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,3 +301,30 @@ def plan_json(spark, sf_dir):
     return out.select("plan_id", F.size("remove").alias("removes"), F.col("error").isNotNull().alias("refused"))
 
 
+
+
+def _keep_everything(messages) -> agent.Answer:
+    """A planner that submits an empty plan: imports go, everything else stays."""
+    return agent.Answer([agent.ToolCall("submit", '{"remove":[],"replace":[],"fold":[],"summary":"kept"}', "1")], input_tokens=3, output_tokens=1)
+
+
+@query("abridged", "SELECT diff_id, sha256(string_agg(text || chr(10), '' ORDER BY line_no)) AS rows_sha256, 'kept' AS summary FROM r WHERE kind <> 'hunk_header' AND NOT import GROUP BY diff_id")
+def abridged(spark, sf_dir):
+    """The planner loop over all diffs, chunk by chunk, merged; hunk headers aside."""
+    out = agent.abridge_all(fixtures.diffs(spark, sf_dir), _keep_everything)
+    rows = F.expr("filter(split(smart_diff, '\n'), x -> not startswith(x, '@@ -'))")
+    return out.select("diff_id", F.sha2(F.array_join(rows, "\n").cast("binary"), 256).alias("rows_sha256"), F.coalesce("summary", "error").alias("summary"))
+
+
+@query("diff_problems", "SELECT diff_id, 0 AS n_errors FROM r GROUP BY diff_id")
+def diff_problems(spark, sf_dir):
+    return D.problems(fixtures.diffs(spark, sf_dir)).select("diff_id", F.size("errors").alias("n_errors"))
+
+
+@query("plan_symmetry", None)
+def plan_symmetry(spark, sf_dir):
+    """The fixture's plans with the diffs' own moves enforced: how many reasons speak against each."""
+    diffs = fixtures.diffs(spark, sf_dir)
+    plans = fixture_plans(L.layout(diffs), N.range_rows(D.import_ranges(diffs)))
+    out = D.compiled(diffs, plans)
+    return out.select("diff_id", F.size("errors").alias("n_errors"), F.size("moves").alias("n_moves"), F.octet_length("smart_diff").alias("n_bytes"))
