@@ -349,11 +349,102 @@ def _verify_task(similarity: float):
     return run
 
 
+#: Bytes of shingle sets of a block; two blocks are held against each other together.
+SET_BYTES = 1 << 20
+
+
+def true_pairs(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets from different groups (and sides, if there are two) that share enough.
+
+    Every such pair is counted exactly; of a pair's groups the later is then joined to the earlier.
+    """
+    size = np.array([len(x) for x in sets])
+    places, at = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    marked, label, two = np.zeros(len(places), np.int32), group.copy(), side.any()
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(sets)), size)
+    out = []
+    for i in np.flatnonzero(side == 0):
+        mine = at[ends[i] - size[i] : ends[i]]
+        marked[mine] = 1
+        # Without a second side the rows after this one are compared.
+        lo = 0 if two else ends[i]
+        both = np.bincount(owner[lo:], weights=marked[at[lo:]], minlength=len(sets))
+        marked[mine] = 0
+        near = both >= similarity * (size[i] + size - both)
+        near &= (side == 1) if two else (np.arange(len(sets)) > i)
+        for j in np.flatnonzero(near & (label != label[i])):
+            if label[j] != label[i]:
+                out.append((int(i), int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _pair_task(similarity: float):
+    """True pairs of two blocks; the rows ``a, b, side, node, group, grams`` come sorted by ``a, b``."""
+
+    def check(rows: list) -> pa.RecordBatch:
+        nodes = np.array([r[0] for r in rows], np.int64)
+        groups = np.array([r[1] for r in rows], np.int64)
+        found = true_pairs([np.frombuffer(r[3], np.uint64) for r in rows], groups, np.array([r[2] for r in rows]), similarity)
+        u, v = (nodes[[p[k] for p in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for a, b, side, node, group, grams in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (a, b) != now:
+                    if rows:
+                        yield check(rows)
+                    now, rows = (a, b), []
+                rows.append((node, group, side, grams))
+        if rows:
+            yield check(rows)
+
+    return run
+
+
+def _rest(found: DataFrame, true: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Further true pairs ``u, v`` among nodes that candidates ``found`` join, but verified links ``true`` don't.
+
+    Every pair of such a group whose ends are in different verified components is held against the
+    exact sets. The sets meet as pairs of blocks of bounded bytes; a verified component of many
+    bytes has blocks of its own, which are never compared with each other.
+    """
+    loose, tight = components(found, scratch, "loose"), components(true, scratch, "tight")
+    of = sets.select("node", (F.octet_length("grams") + 64).alias("n"))
+    of = of.join(loose.withColumnRenamed("component", "l"), "node", "left").join(tight.withColumnRenamed("component", "t"), "node", "left")
+    of = scratch.put(of.select("node", "n", F.coalesce("l", "node").alias("l"), F.coalesce("t", "node").alias("t")), "of")
+    held = scratch.put(of.groupBy("l", "t").agg(F.sum("n").alias("bytes")), "held")
+    open_ = held.groupBy("l").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("l")
+    held = held.join(open_, "l", "left_semi")
+    held = scratch.put(held.select("l", "t", "bytes", F.when(F.col("bytes") >= SET_BYTES, F.col("t")).alias("home")), "open")
+    if held.isEmpty():
+        return true
+    # Blocks of a group: those of its large components, and mixed ones of all others.
+    cut = held.groupBy("l", "home").agg(F.sum("bytes").alias("all")).select("l", "home", F.ceil(F.col("all") / SET_BYTES).alias("many"))
+    same = (F.col("x.l") == F.col("y.l")) & F.col("x.home").eqNullSafe(F.col("y.home"))
+    held = held.alias("x").join(cut.alias("y"), same).select("x.l", "x.t", "x.home", "many")
+    rows = of.join(held, ["l", "t"]).select("node", "t", "l", "home", F.xxhash64("l", "home", F.pmod(F.xxhash64("node"), "many")).alias("block"))
+    rows = scratch.put(rows, "rows")
+    blocks = scratch.put(rows.groupBy("l", "home", "block").agg(F.count("*").alias("rows")), "blocks")
+    x, y = blocks.select("l", F.col("home").alias("hx"), F.col("block").alias("a")), blocks.select("l", F.col("home").alias("hy"), F.col("block").alias("b"))
+    met = x.join(y, "l").where((F.col("a") <= F.col("b")) & (F.col("hx").isNull() | F.col("hy").isNull() | (F.col("hx") != F.col("hy")))).select("a", "b")
+    sides = [F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))]
+    met = met.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(sides[0])).otherwise(F.array(*sides))).alias("s")).select("a", "b", "s.block", "s.side")
+    dealt = met.join(rows.select("node", "t", "block"), "block").join(sets, "node").select("a", "b", "side", "node", "t", "grams")
+    dealt = dealt.repartition("a", "b").sortWithinPartitions("a", "b")
+    more = scratch.put(dealt.mapInArrow(_pair_task(similarity), "u long, v long"), "more")
+    return true.unionByName(more)
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id``: groups of documents linked by at least ``similarity`` of their shingles.
 
-    Candidates come from the index over wide fingerprints of word pairs; the nearest
-    pairs that span each group are then held against their exact shingle sets.
+    Candidates come from the index over wide fingerprints of word pairs. The pairs that
+    span a group of candidates are held against their exact shingle sets first; where they
+    don't join the whole group, so is every pair of it that is not yet joined.
     Ids are taken as unique: of rows that share an id, one stands for all.
     """
     scratch = Scratch(docs.sparkSession, "similar")
@@ -368,7 +459,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     scratch.release()
     pairs = found.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
     true = scratch.put(pairs.select("u", "v", "gu", "gv").mapInArrow(_verify_task(similarity), "u long, v long"), "true")
-    comp = components(true, scratch)
+    comp = components(_rest(found, true, sets, similarity, scratch), scratch)
     of_fp = scratch.put(distinct.join(comp, distinct["rep"] == comp["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "of_fp")
     return fps.join(of_fp, names).select("doc_id", "component_id")
 

@@ -153,6 +153,28 @@ def test_similar_groups(docs, empty):
     assert simhash.without_copies(docs).columns == docs.columns
 
 
+def slow_similar(texts, k=5, similarity=0.8):
+    grams = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if (w := t.lower().split()) else set() for t in texts]
+    return groups(len(texts), lambda a, b: len(grams[a] & grams[b]) >= similarity * len(grams[a] | grams[b]))
+
+
+def variants(n, words=400, edits=7, seed=70):
+    """``n`` loose variants of one text, then a near copy of each."""
+    loose = [near(prose(words, seed), edits, 1000 + i) for i in range(n)]
+    return loose + [near(t, 3, 5000 + i) for i, t in enumerate(loose)]
+
+
+@pytest.mark.parametrize("block", [60_000])
+def test_similar_groups_of_many_variants(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "SET_BYTES", block)
+    texts = variants(200)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = dict(collected(simhash.similar_groups(df)))
+    want = slow_similar(texts)
+    assert len(set(want)) >= 100
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # --- 2 ---
 
 
