@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm._shared import Scratch, text_bytes
+from hunkwise.llm._shared import Scratch, row_key, text_bytes
 from hunkwise.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -82,18 +82,26 @@ def wide_fingerprint(text: bytes, shingle: int, lanes: int, seed: int = 42) -> l
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, lanes: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long; with ``lanes``, ``f0, f1, ...`` of the shingles' set."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, lanes: int = 0, exact: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed long; with ``lanes``, ``f0, f1, ...`` of the shingles' set.
+
+    With ``exact`` also ``_th, node``: hashes of the text and of its exact set of that many words' shingles.
+    """
     names = [f"f{i}" for i in range(lanes)] if lanes else ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = (lambda t: wide_fingerprint(t, shingle, lanes, seed)) if lanes else (lambda t: [fingerprint(t, shingle, seed)])
             fps = np.array([of(t.as_py()) for t in batch.column(1)], np.uint64).reshape(batch.num_rows, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(len(names))]], names=["doc_id", *names])
+            more = []
+            if exact:
+                sets = np.array([xxhash.xxh3_64_intdigest(np.unique(shingle_hashes(t.as_py(), exact)).tobytes()) for t in batch.column(1)], np.uint64)
+                more = [batch.column(2), pa.array(sets.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(len(names))], *more], names=["doc_id", *names, *["_th", "node"][: len(more)]])
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in names)
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_t")).mapInArrow(run, schema)
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", _th long, node long" * bool(exact)
+    key = row_key(id_col, text_col)[1:] if exact else []
+    return docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_t"), *key).mapInArrow(run, schema)
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -439,29 +447,42 @@ def _rest(found: DataFrame, true: DataFrame, sets: DataFrame, similarity: float,
     return true.unionByName(more)
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id``: groups of documents linked by at least ``similarity`` of their shingles.
-
-    Candidates come from the index over wide fingerprints of word pairs. The pairs that
-    span a group of candidates are held against their exact shingle sets first; where they
-    don't join the whole group, so is every pair of it that is not yet joined.
-    Ids are taken as unique: of rows that share an id, one stands for all.
-    """
+def _grouped(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, _th`` of every row, and those of the first row of its group: ``component_id, component_th``."""
     scratch = Scratch(docs.sparkSession, "similar")
     names = [f"f{i}" for i in range(LANES)]
-    fps = scratch.put(fingerprints(docs, 2, lanes=LANES, id_col=id_col, text_col=text_col), "fps")
-    distinct = scratch.put(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
-    known = distinct.where("rep is not null")
-    found = scratch.put(links(known, LANE_BITS, scratch, names, FIELDS, ALL_BITS).distinct(), "found")
+    fps = scratch.put(fingerprints(docs, 2, lanes=LANES, exact=shingle, id_col=id_col, text_col=text_col), "fps")
+    # A node is a set of shingles; ``first`` is null if no document of it has an id.
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_th"))).alias("first")
+    all_nodes = scratch.put(fps.groupBy("node", *names).agg(first), "nodes")
+    known = all_nodes.where("first is not null")
+    # One node of each fingerprint is indexed; that others have it makes them candidates only.
+    distinct = scratch.put(known.groupBy(*names).agg(F.min("node").alias("rep"), F.count("*").alias("many")), "distinct")
+    shared = known.join(distinct.where("many > 1"), names).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    found = scratch.put(links(distinct.drop("many"), LANE_BITS, scratch, names, FIELDS, ALL_BITS).unionByName(shared).distinct(), "found")
     nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), text_bytes(text_col).alias("_t")).join(nodes.hint("shuffle_hash"), "node", "left_semi")
+    keys = known.join(nodes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first._th").alias("_th"))
+    texts = docs.select(*row_key(id_col, text_col), text_bytes(text_col).alias("_t")).join(keys.hint("shuffle_hash"), ["_id", "_th"]).select("node", "_t")
     sets = scratch.put(texts.mapInArrow(_set_task(shingle), "node long, grams binary").groupBy("node").agg(F.min("grams").alias("grams")), "sets")
     scratch.release()
     pairs = found.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
     true = scratch.put(pairs.select("u", "v", "gu", "gv").mapInArrow(_verify_task(similarity), "u long, v long"), "true")
     comp = components(_rest(found, true, sets, similarity, scratch), scratch)
-    of_fp = scratch.put(distinct.join(comp, distinct["rep"] == comp["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "of_fp")
-    return fps.join(of_fp, names).select("doc_id", "component_id")
+    of = scratch.put(all_nodes.join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("c")), "component")
+    least = scratch.put(of.groupBy("c").agg(F.min("first").alias("least")), "least")
+    of = scratch.put(of.join(least, "c").select("node", F.col("least.doc_id").alias("component_id"), F.col("least._th").alias("component_th")), "of_node")
+    return fps.join(of, "node").select("doc_id", "_th", "component_id", "component_th")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id``: groups of documents linked by at least ``similarity`` of their shingles.
+
+    Documents with equal shingle sets are one node. Candidates come from the index over wide
+    fingerprints of word pairs; nodes with equal fingerprints are candidates, too. The pairs that
+    span a group of candidates are held against their exact shingle sets first; where they
+    don't join the whole group, so is every pair of it that is not yet joined.
+    """
+    return _grouped(docs, similarity, shingle, id_col, text_col).select("doc_id", "component_id")
 
 
 def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -175,6 +175,20 @@ def test_similar_groups_of_many_variants(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def few_words(n=6, words=1500, vocabulary=12):
+    r = random.Random(90)
+    return [" ".join(r.choices(SYLLABLES[:vocabulary], k=words)) for _ in range(n)]
+
+
+def test_equal_fingerprints_are_no_copies(spark):
+    texts = few_words()
+    assert len({tuple(simhash.wide_fingerprint(data(t), 2, simhash.LANES)) for t in texts}) == 1
+    texts += [texts[2].upper(), "  " + texts[4]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = dict(collected(simhash.similar_groups(df)))
+    assert [got[i] for i in range(8)] == slow_similar(texts) == [0, 1, 2, 3, 4, 5, 2, 4]
+
+
 # --- 2 ---
 
 
