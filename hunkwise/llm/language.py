@@ -2,14 +2,17 @@
 
 A text is the set of its byte n-grams of one to four bytes, hashed to ``DIM``
 places (upper-case ASCII lowered). The kernel of two texts is the number of common
-n-grams over the root of the product of their numbers. ``landmarks`` training texts
+n-grams over the root of the product of their numbers. A text of more than ``PART``
+bytes is cut into equal parts of at most that, as a longer text's set would fill all
+places; its values are the means of its parts' values, over the whole text. ``landmarks`` training texts
 span the Nyström features; on them a ridge regression is fitted for each
 language against the rest. As the kernel is linear in a text's set up to its norm,
 landmarks, Nyström map and weights are multiplied into one matrix; texts
 are scored by matrix products of whole batches with it.
 
 Fitting uses a bounded sample: about ``per_lang`` rows of each language, chosen by
-a hash of the id; their sets (a few KB each) are collected. Everything else
+a hash of the id; their sets (a few KB each, of a long text those of ``LEARNED`` parts
+spread over it) are collected. Everything else
 covers all rows, without a shuffle.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows with a null id
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 #: Places of the hashed n-gram sets; bits.
 BITS = 14
 DIM = 1 << BITS
+#: Bytes of a text that share a set, parts of a long text to learn from.
+PART, LEARNED = 8192, 8
 #: Bytes of a text hashed at once.
 SEGMENT = 1 << 20
 #: Sharpness of the scores: they are the softmax of this times the regression's values.
@@ -55,14 +60,32 @@ def gram_set(text: bytes, out: np.ndarray) -> None:
             out[(salted ^ (salted >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(32 - BITS)] = 1
 
 
+def parts(text: bytes) -> list[tuple[int, int]]:
+    """The ranges of a text's parts; n-grams that begin in a part belong to it."""
+    n = max(1, -(-len(text) // PART))
+    ends = [len(text) * i // n for i in range(n + 1)]
+    return [(a, min(len(text), b + 3)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 @dataclass
 class Model:
     langs: list[str]
     matrix: np.ndarray  # DIM x languages
 
-    def scores(self, sets: np.ndarray) -> np.ndarray:
-        norm = np.sqrt(np.maximum(sets.sum(axis=1, keepdims=True), 1))
-        z = SHARPNESS * (sets @ self.matrix) / norm
+    def values(self, sets: np.ndarray) -> np.ndarray:
+        return (sets @ self.matrix) / np.sqrt(np.maximum(sets.sum(axis=1, keepdims=True), 1))
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """Scores of each text: the softmax of its parts' mean values."""
+        total = np.zeros((len(texts), len(self.langs)))
+        todo = [(i, a, b) for i, t in enumerate(texts) for a, b in parts(t)]
+        for lo in range(0, len(todo), 128):
+            some = todo[lo : lo + 128]
+            sets = np.zeros((len(some), DIM), np.float32)
+            for row, (i, a, b) in zip(sets, some, strict=True):
+                gram_set(texts[i][a:b], row)
+            np.add.at(total, [i for i, _, _ in some], self.values(sets))
+        z = SHARPNESS * total / np.maximum(np.bincount([i for i, _, _ in todo], minlength=len(texts)), 1)[:, None]
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -106,12 +129,16 @@ def held_out(id_col: str):
 
 def _set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = []
-        for text in batch.column(1).to_pylist():
-            found = np.zeros(DIM, np.uint8)
-            gram_set(text.encode("utf-8", "surrogatepass"), found)
-            packed.append(np.packbits(found).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["lang", "bits"])
+        langs, packed = [], []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            text = text.encode("utf-8", "surrogatepass")
+            of = parts(text)
+            for a, b in of if len(of) <= LEARNED else [of[len(of) * k // LEARNED] for k in range(LEARNED)]:
+                found = np.zeros(DIM, np.uint8)
+                gram_set(text[a:b], found)
+                langs.append(lang)
+                packed.append(np.packbits(found).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(packed, pa.binary())], names=["lang", "bits"])
 
 
 def learn(docs: DataFrame, per_lang: int = 1000, landmarks: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -145,14 +172,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             for lo in range(0, batch.num_rows, 128):
                 part = texts.slice(lo, 128).to_pylist()
                 ok = [t is not None and _LETTER.search(t) is not None for t in part]
-                sets = np.zeros((len(part), DIM), np.float32)
-                for row, t, good in zip(sets, part, ok, strict=True):
-                    if good:
-                        gram_set(t.encode("utf-8", "surrogatepass"), row)
                 if model is None:
                     ok = [False] * len(part)
                 else:
-                    p = model.scores(sets)
+                    p = model.scores([t.encode("utf-8", "surrogatepass") if good else b"" for t, good in zip(part, ok, strict=True)])
                     best = p.argmax(axis=1)
                 for i, good in enumerate(ok):
                     langs.append(model.langs[best[i]] if good else "und")

@@ -247,6 +247,17 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.identify(df.where("lang is null")).collect()} == {"und"}
 
 
+def test_language_of_long_texts(spark):
+    r = random.Random(15)
+    kinds = {"aa": "abcdefghijklmé", "bb": "nopqrstuvwxyzö"}
+    text = lambda k, n: " ".join("".join(r.choices(kinds[k], k=r.randint(3, 9))) for _ in range(n))
+    table = [(i, text(k, 40), k) for i in range(200) for k in ["ab"[i % 2] * 2]] + [(900, text("aa", 400_000), None), (901, text("bb", 400_000), None)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in language.identify(df).where("doc_id >= 900").collect()}
+    assert [got[i].lang_pred for i in (900, 901)] == ["aa", "bb"]
+    assert min(x.score for x in got.values()) > 0.95
+
+
 # --- 4 ---
 
 
