@@ -486,16 +486,20 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
 
 
 def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, one of each group; rows with a null id stay."""
+    """The documents with all their columns, one of each group; rows with a null id stay.
+
+    Rows are told apart by id and text: of rows that share an id each text is in its own group.
+    """
     scratch = Scratch(docs.sparkSession, "copies")
-    groups = similar_groups(docs, similarity, shingle, id_col, text_col).where("doc_id is not null and doc_id <> component_id")
-    gone = scratch.put(groups.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    # Rows that repeat an id are one document, too; texts are only compared by id where that happens.
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_again")).count().where("count > 1").select("_again")
+    key = [F.col(id_col).cast("long"), row_key(id_col, text_col)[1]]
+    groups = _grouped(docs, similarity, shingle, id_col, text_col).where("doc_id is not null and (doc_id <> component_id or _th <> component_th)")
+    gone = scratch.put(groups.select(F.col("doc_id").alias("_gone"), F.col("_th").alias("_gone_th")).distinct(), "gone")
+    kept = docs.join(gone.hint("shuffle_hash"), (key[0] == F.col("_gone")) & (key[1] == F.col("_gone_th")), "left_anti")
+    # Rows equal in id and text are one document, too.
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(key[0].alias("_again"), key[1].alias("_again_th")).count().where("count > 1").select("_again", "_again_th")
     again = scratch.put(again, "again")
     if again.isEmpty():
         return kept
-    same = F.col(id_col).cast("long") == F.col("_again")
-    once = kept.join(again, same, "left_semi").dropDuplicates([id_col])
+    same = (key[0] == F.col("_again")) & (key[1] == F.col("_again_th"))
+    once = kept.join(again, same, "left_semi").withColumn("_copy_th", key[1]).dropDuplicates([id_col, "_copy_th"]).drop("_copy_th")
     return kept.join(again, same, "left_anti").unionByName(once)

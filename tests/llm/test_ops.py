@@ -189,6 +189,13 @@ def test_equal_fingerprints_are_no_copies(spark):
     assert [got[i] for i in range(8)] == slow_similar(texts) == [0, 1, 2, 3, 4, 5, 2, 4]
 
 
+def test_repeated_ids_with_other_texts(spark):
+    a, b, c = prose(100, 31), prose(100, 32), prose(100, 33)
+    table = [(1, a), (1, b), (2, near(a, 1, 34)), (3, c), (3, c), (4, near(b, 1, 35)), (4, prose(100, 36))]
+    kept = collected(simhash.without_copies(spark.createDataFrame(table, "doc_id long, text string")))
+    assert Counter(kept) == Counter([table[0], table[1], table[3], table[6]])
+
+
 # --- 2 ---
 
 
