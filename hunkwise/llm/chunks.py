@@ -31,8 +31,9 @@ from hunkwise.llm._shared import Scratch, row_key, text_bytes
 
 #: Average bytes of a chunk are about ``LEAST + 2**BITS``.
 LEAST, MOST, BITS = 24, 256, 5
-#: Bytes of consecutive copies from which they are removed.
-RUN_BYTES = 120
+#: Bytes of consecutive copies from which they are removed. A passage loses its edges to chunks
+#: that begin before or end after it; this is short enough for what is left of 50 words.
+RUN_BYTES = 64
 #: Bytes handled together; bounds the memory of a long text.
 SEGMENT = 1 << 20
 

@@ -462,6 +462,17 @@ def test_chunks_resist_shifts():
     assert max(map(len, a)) <= chunks.MOST
 
 
+@pytest.mark.parametrize("words", [51, 55, 60])
+def test_chunks_catch_short_passages(spark, words):
+    table = []
+    for k in range(200):
+        passage = prose(words, 3000 + k)
+        table += [(2 * k + d, " ".join([prose(60), passage, prose(60)])) for d in (0, 1)]
+    got = {r.doc_id: r.n_removed for r in chunks.dedup(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] > 0 for k in range(200)) >= 194
+    assert sum(got[2 * k] > 0 for k in range(200)) == 0
+
+
 # --- 9 ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="with-sidebar"><nav><li>Home</nav><div class="cookie-notice">We use</div>
