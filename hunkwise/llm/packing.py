@@ -4,16 +4,19 @@ A document's tokens are placed as they stream by. Of all window fill levels
 that still hold the item, the one is chosen for which the sum of the squared
 numbers of partially filled windows per level becomes least; ``_Packer.count``
 is the level array. Documents of a window and more are first cut into whole
-windows. When a task's input ends (or more than ``max_open`` windows are open)
-the open windows are cut into full ones; the last rest of a task goes to
-windows whose lengths are powers of two, which need no padding.
+windows. Windows stay open over all batches of a task and close when they are full.
+When a task's input ends (or more than ``max_open`` windows are open) the emptiest
+windows, just enough of them, are cut up to fill the others; all else stays where it
+was placed. The last rest of a task goes to windows whose lengths are powers of two,
+which need no padding.
 
 Each input partition packs on its own, without a shuffle, and sequence ids carry
 the partition, so a lost task is repeated alone with the same result. A task's
 memory is bounded by ``max_open`` windows and one batch of texts.
 
-Null and empty texts count as the end token alone. Rows with equal or null ids
-are packed like any other. An empty table gives no rows. Extra columns are
+Null and empty texts count as the end token alone. Very long texts are cut into whole
+windows and a rest. Rows with equal or null ids are packed like any other; of levels
+that tie the fullest is chosen. An empty table gives no rows. Extra columns are
 ignored.
 """
 
@@ -192,6 +195,7 @@ class _Packer:
         self.n_open = 0
         self.next_id = partition << 36
         self.rows: list[tuple] = []
+        self.moved = 0  # tokens that the final filling cut and moved
 
     def _close(self, pieces: list[tuple]) -> None:
         at = 0
@@ -236,26 +240,41 @@ class _Packer:
             self.n_open -= 1
         self._keep(level + n, [*pieces, piece])
         if self.n_open > self.max_open:
-            self._merge(last=False)
+            self.finish(last=False)
 
-    def _merge(self, last: bool) -> None:
-        """Cut the open windows into full ones; at the end the rest into powers of two."""
-        todo = [p for level in sorted(self.open) for pieces in self.open[level] for p in pieces]
+    def finish(self, last: bool) -> None:
+        """Fill the open windows with tokens of the emptiest; ``last``: the rest goes to powers of two."""
+        windows = [pieces for level in sorted(self.open) for pieces in self.open[level]]
+        fill = [sum(len(p[2]) for p in pieces) for pieces in windows]
         self.open.clear()
         self.count[:] = 0
         self.n_open = 0
-        left = sum(len(p[2]) for p in todo)
-        want = lambda: self.size if left >= self.size else 1 << (left.bit_length() - 1) if last else left
-        room, pieces = want() if left else 0, []
-        for doc, start, ids, total in todo:
-            while len(ids):
-                part, ids = ids[:room], ids[room:]
-                pieces.append((doc, start, part, total))
-                start, room, left = start + len(part), room - len(part), left - len(part)
-                if not room:
-                    level = sum(len(p[2]) for p in pieces)
-                    self._close(pieces) if last or level == self.size else self._keep(level, pieces)
-                    room, pieces = want() if left else 0, []
+        # The fewest windows that fill all others: what they hold against what the others lack.
+        spare = np.cumsum(fill, dtype=np.int64) - (self.size * np.arange(len(fill) - 1, -1, -1) - (sum(fill) - np.cumsum(fill, dtype=np.int64)))
+        few = int(np.searchsorted(spare, 0)) + 1
+        rest = [p for pieces in windows[:few] for p in pieces]
+
+        def take(n: int) -> list[tuple]:
+            out = []
+            while n:
+                doc, start, ids, total = rest.pop()
+                if len(ids) > n:
+                    rest.append((doc, start + n, ids[n:], total))
+                    ids = ids[:n]
+                out.append((doc, start, ids, total))
+                n -= len(ids)
+                self.moved += len(ids)
+            return out
+
+        for pieces, held in zip(windows[few:], fill[few:], strict=True):
+            self._close([*pieces, *take(self.size - held)])
+        left = sum(len(p[2]) for p in rest)
+        if left and not last:
+            self._keep(left, rest)
+        while left and last:
+            n = 1 << (left.bit_length() - 1)
+            self._close(take(n))
+            left -= n
 
     def drain(self) -> list[tuple]:
         rows, self.rows = self.rows, []
@@ -268,7 +287,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, end_id: int = 2, max_open: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, end_id: int = 2, max_open: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their place in sequences of at most ``size`` tokens."""
     path = tokenizer or default_tokenizer()
 
@@ -283,7 +302,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, end_id
                     packer.add(doc, np.concatenate([ids, end]))
             if len(packer.rows) >= 5000:
                 yield _rows(packer.drain())
-        packer._merge(last=True)
+        packer.finish(last=True)
         yield _rows(packer.drain())
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, SCHEMA)

@@ -417,6 +417,34 @@ def test_level_choice():
     assert p.open[5]
 
 
+def test_final_filling_moves_little():
+    """Sum-of-squares places nearly all tokens: the end of a task moves less than a twentieth."""
+    draw = np.random.default_rng(11)
+    for docs_of_task in (500, 2000):
+        lens = np.minimum(draw.lognormal(6.4, 0.8, docs_of_task).astype(int) + 2, 9000)
+        p = packing._Packer(4096, 2048, 0)
+        for i, n in enumerate(lens):
+            p.add(i, np.zeros(n, np.uint32))
+        p.finish(last=True)
+        print(f"moved at the end of a task of {docs_of_task} documents: {p.moved / lens.sum():.2%}")
+        assert p.moved < 0.05 * lens.sum()
+        fill = Counter()
+        for _, _, n, _, _, seq, _ in p.rows:
+            fill[seq] += n
+        assert sum(fill.values()) == lens.sum()
+        assert sum(n != 4096 for n in fill.values()) <= 12
+    few = packing._Packer(64, 3, 0)
+    for i in range(200):
+        few.add(i, np.arange(1 + i % 50, dtype=np.uint32))
+        assert few.n_open <= 4
+    few.finish(last=True)
+    got = defaultdict(list)
+    for doc, start, n, _, total, _, _ in few.rows:
+        got[doc].append((start, n, total))
+    assert all(sum(n for _, n, _ in v) == v[0][2] and sorted(v)[0][0] == 0 for v in got.values())
+    assert len(got) == 200
+
+
 def test_word_encoder_equals_tokenizer():
     tk = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
     texts = [t for _, t in ROWS] + ["don't we'll 's '", "ΑΣ ΟΔΟΣ ὀ", "İstanbul ǅ ﬁ", "́e é", "a²b ½ ٣", "_x_ __", "naïve…“q”–€"]
