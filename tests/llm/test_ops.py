@@ -340,13 +340,13 @@ def test_quality(spark, docs, empty):
 # --- 6 ---
 
 
-@pytest.mark.parametrize("shard", [300, 10**6])
-def test_decontaminate(spark, docs, empty, shard):
+@pytest.mark.parametrize("part", [100, 10**6])
+def test_decontaminate(spark, docs, empty, part):
     words = PASSAGE.split()
-    items = [(1, " ".join(words[5:18]).upper() + "!"), (2, "one"), (3, None), (4, "- -"), (5, prose(14, 99)), (10, " ".join(words[30:33])), (None, words[50]), (6, "é ß STRAßE")]
+    items = [(1, " ".join(words[5:18]).upper() + "!"), (2, "one"), (3, None), (4, "- -"), (5, prose(14, 99)), (10, " ".join(words[30:33])), (None, words[50]), (6, "é ß STRAßE"), (1, " ".join(words[40:52])), (2, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     norm = lambda t: [w.lower() if w.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
-    got = collected(decontaminate.decontaminate(docs, bench, shard_bytes=shard).drop("spans"))
+    got = collected(decontaminate.decontaminate(docs, bench, part_bytes=part).drop("spans"))
     want = []
     for i, t in ROWS:
         w = norm(t)
@@ -360,15 +360,52 @@ def test_decontaminate(spark, docs, empty, shard):
                         found |= {str(name)} if name is not None else set()
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         want.append((i, len(w), len(hit), len(found), digest, bool(hit)))
-    if shard == 300:
-        assert Counter(got) == Counter(want)
     assert Counter(got) == Counter(want)
-    clean = decontaminate.clean(docs, bench, shard_bytes=shard)
+    clean = decontaminate.clean(docs, bench, part_bytes=part)
     assert Counter(r.doc_id for r in clean.collect()) == Counter(x[0] for x in want if not x[5])
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_automaton_against_windows(monkeypatch):
+    """Random texts and items over few words, stretches and pieces cut short."""
+    for name, size in (("WORDS", 50), ("STEPS", 7), ("SEGMENT", 40)):
+        monkeypatch.setattr(decontaminate, name, size)
+    r = random.Random(66)
+    for window in (1, 2, 4, 10):
+        say = lambda n: " ".join(r.choices(SYLLABLES[:4], k=n)).encode()  # noqa: E731, B023
+        items = [(str(i % 7), say(r.randint(0, 14))) for i in range(12)] + [(None, say(3))]
+        texts = [say(r.choice([0, 1, 5, 60])) for _ in range(20)] + [b"zz " * 5 + items[0][1]]
+        auto = decontaminate.Automaton(items, window)
+        got = auto.scan([auto.ids(t) for t in texts])
+        for t, (hit, found) in zip(texts, got, strict=True):
+            w, covered, names = t.split(), set(), set()
+            for name, x in items:
+                v = x.split()
+                for k in range(max(1, len(v) - window + 1)) if v else ():
+                    for p in range(len(w)):
+                        if w[p : p + len(v[k : k + window])] == v[k : k + window]:
+                            covered |= set(range(p, p + len(v[k : k + window])))
+                            names |= {name} - {None}
+            assert (hit.tolist(), found) == (sorted(covered), names)
+
+
+def test_decontaminate_by_a_benchmark_of_megabytes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 500)
+    r = random.Random(67)
+    words = [f"w{i}" for i in range(20_000)]
+    items = [(i // 2, " ".join(r.choices(words, k=n))) for i, n in enumerate([1000] * 400 + [100_000])]
+    cut = lambda i, a, n: " ".join(items[i][1].split()[a : a + n])
+    texts = [prose(50, 1), cut(3, 200, 9), cut(3, 990, 10), "x " + cut(400, 490, 30) + " y", cut(17, 0, 500) + " " + cut(390, 7, 10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sum(len(t) for _, t in items) > 2_500_000
+    for part in (8 << 20, 1 << 20):
+        got = {x.doc_id: (x.n_hit, x.n_items, x.items_sha256) for x in decontaminate.decontaminate(df, bench, part_bytes=part).collect()}
+        sha = lambda *names: hashlib.sha256(",".join(sorted(map(str, names))).encode()).hexdigest()
+        assert got == {0: (0, 0, sha()), 1: (0, 0, sha()), 2: (10, 1, sha(1)), 3: (30, 1, sha(200)), 4: (510, 2, sha(8, 195))}
+
+
 def test_spans_map_to_the_original():
     text = "É, Words-HERE\nand there".encode()
     assert [text.decode()[a:b] for a, b in decontaminate.char_spans(text, [1, 2, 4])] == ["Words-HERE", "there"]
