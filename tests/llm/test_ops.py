@@ -541,19 +541,19 @@ def test_chunks_catch_short_passages(spark, words):
 # --- 9 ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="with-sidebar"><nav><li>Home</nav><div class="cookie-notice">We use</div>
-<script>var x="</p>";</script><div class="widget-x"><p>Top story %d</div><article><header><h1>Head &amp; line %d</h1></header><p>First <b>bold<br>text<p>Second&nbsp;&lt;x&gt; %d
+<script>var x="</p>";</script><div class="widget-x"><p>Top story %d</div><article><header><h1>Head &amp; line %d</h1></header><p>First <b>bold<br>text %d<p>Second&nbsp;&lt;x&gt; %d
 <aside>no</aside><form>no</form></article><div class="comments"><article class="comment">me too</article></div><footer>&copy; all</footer>"""
 
 
 def test_html(spark):
-    pages = [(i, f"http://h{i % 2}.example.org/{i}", PAGE % (i, i, i)) for i in range(20)]
+    pages = [(i, f"http://h{i % 2}.example.org/{i}", PAGE % (i, i, i, i)) for i in range(20)]
     plain = "<body><div class='box'><p>Same words on each page</p></div><div class='col'><p>Own text %d here</p></div></body>"
     pages += [(100 + i, "http://plain.example.org/x", plain % i) for i in range(12)]
     pages += [(200, None, None), (201, "bad url", ""), (202, "http://a.b/", "<p>a<p>b &#233; &amp"), (203, "x", "<div>cut <a hre"), (None, "http://a.b/", "one")]
     pages += [(300, "http://big/", "<article>" + "<p>%s</p>" % prose(20_000, 12) + "</article>")]
     df = spark.createDataFrame([(*p, "q") for p in pages], "page_id long, url string, html string, host string")
     got = {r.page_id: r for r in html_text.extract(df).collect()}
-    assert got[3].text == "Head & line 3\nFirst bold text\nSecond <x> 3"
+    assert got[3].text == "Head & line 3\nFirst bold text 3\nSecond <x> 3"
     assert got[105].text == "Own text 5 here"
     assert got[200].text == got[201].text == ""
     assert got[202].text == "a\nb é &"
@@ -565,6 +565,97 @@ def test_html(spark):
     assert html.unescape("&am") == "&am"
 
 
+def html_pages():
+    """Hosts with boilerplate that only entropy tells, pages with copies, and a host too small for a tree of its own."""
+    out = []
+    for i in range(40):
+        ad = f'<div class="ad">{prose(6, 700 + i)}</div>'
+        box = "<div class='inner'><p>Read more of us each week</p></div>" if i % 2 else ""
+        paragraphs = "".join(f"<p>{prose(20, 800 + 9 * i + k)}</p>" for k in range(1 + i % 5))
+        out.append((i, f"http://a.example/{i}", f"<body><nav>{prose(4)}</nav>{ad}<article><h1>{prose(4, 900 + i)}</h1>{paragraphs}<p>Read more of us each week</p>{box}</article></body>"))
+    out += [(100 + i, "http://a.example/c", out[7][2]) for i in range(30)]  # copies of one page
+    out += [(200 + i, f"http://small{i}.example/", f'<body><div class="ad">{prose(6, 1000 + i)}</div><article><h1>{prose(3, 1100 + i)}</h1><p>{prose(9, 1200 + i)}</p></article></body>') for i in range(6)]
+    return out
+
+
+def slow_importance(pages, host, wanted):
+    """Entropies by counting: of how pages show each path, and of the blocks below it."""
+    import math
+
+    shown, under, keys = defaultdict(dict), defaultdict(lambda: defaultdict(set)), {}
+    for n, (_, url, source) in enumerate(pages):
+        if html_text.host_of(url) == host:
+            page = html_text.Page(source)
+            keys.setdefault(page.key(), n)
+            if keys[page.key()] != n:
+                continue
+            for node, main, kind, feature in page.features():
+                if kind == 0:
+                    shown[node, main][n] = feature
+                else:
+                    under[node, main][feature].add(n)
+    out = {}
+    for at, by_page in shown.items():
+        m = len(by_page)
+        if m >= wanted and at in under:
+            entropy = -sum(c / m * math.log(c / m, m) for c in Counter(by_page.values()).values())
+            spread = [len(p) for p in under[at].values()]
+            out[at] = (m, entropy, 1 - sum(n * math.log(n, m) for n in spread) / sum(spread))
+    return out
+
+
+def test_style_tree_against_counting(spark):
+    pages = html_pages()
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    nodes, blocks, over = html_text.style_tree(df, Scratch(spark, "t"))
+    got = {(r.node, r.main): (r.pages, r.style, r.content) for r in nodes.where("host = 'a.example'").collect()}
+    want = slow_importance(pages, "a.example", 8)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {r.pages for r in nodes.collect()} <= {20, 40}  # copies of a page count once
+    assert blocks.count() == 2  # the repeated paragraph, as one and within the box
+    assert over.count() >= 1
+
+
+def test_html_by_entropy(spark):
+    pages = html_pages()
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    for i, _, source in pages:
+        article = re.search("<article>(.*?)</article>", source)[1].replace("<div class='inner'><p>Read more of us each week</p></div>", "").replace("<p>Read more of us each week</p>", "")
+        assert got[i] == "\n".join(x for x in re.split("</?[^>]*>", article) if x)
+
+
+def test_html_share_that_the_tree_changes(spark):
+    import os
+
+    if not os.path.exists("/root/testdata/sf0.1/pages.parquet"):
+        pytest.skip("no test tables")
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    with_tree = dict(collected(html_text.extract(df).select("page_id", "text")))
+    without = dict(collected(html_text.extract(df, tree=False).select("page_id", "text")))
+    share = sum(with_tree[k] != without[k] for k in without) / len(without)
+    print(f"pages of sf0.1 whose text the style tree changes: {share:.1%}")
+    assert share > 0.3
+
+
+def test_html_markup_is_a_prior(spark):
+    cases = [
+        ("<article><p>Let <math><mi>x</mi></math> be</p></article>", "Let x be"),
+        ('<article><h2>T</h2><section class="related-work"><p>Earlier</p></section><section id="discussion"><p>We see</p></section></article>', "T\nEarlier\nWe see"),
+        ('<div class="content"><p>A long body of the page itself</p></div><article class="teaser"><p>Short</p></article>', "A long body of the page itself\nShort"),
+        ('<div class="comments"><article class="comment"><p>me too</p></article></div><p>Text</p>', "Text"),
+        ("<p>Price <span hidden>was <b>9</b> then </span>now</p>", "Price now"),
+        ('<div class="has-comments"><article><p>Kept</p></article></div>', "Kept"),
+        ("<div>" * 2000 + "deep", "deep"),
+        ("<header>no</header><p>a<br>b<p>c <svg><text>no</text></svg>d", "a b\nc d"),
+    ]
+    rows = [(i, f"http://h{i}/", h) for i, (h, _) in enumerate(cases)]
+    df = spark.createDataFrame([*rows, rows[0], (None, None, "<p>x")], "page_id long, url string, html string")
+    got = collected(html_text.extract(df).select("page_id", "text"))
+    assert Counter(got) == Counter([*((i, t) for i, (_, t) in enumerate(cases)), (0, cases[0][1]), (None, "x")])
+
+
 # --- 10 ---
 
 
