@@ -18,12 +18,20 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+#: Folders made for local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; set to a local one only where none is set (tests)."""
+    """The shared folder of the session. Only a local session that names none (a test) gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="hunkwise-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="hunkwise-")
+        found = _LOCAL[context.applicationId]
     return found.rstrip("/")
 
 

@@ -3,28 +3,31 @@
 1. Each text gets a 64-bit fingerprint (majority bits of its shingles' hashes).
    Equal fingerprints are collapsed to one row with the least id of their
    documents, before anything is shuffled by fingerprint.
-2. Fingerprints within ``distance`` bits agree on at least one of
-   ``distance + 1`` bit fields. Rows ``(field value, fingerprint)`` are range
-   partitioned and sorted by field value, then by Gray rank. Neighbours in Gray
-   order share most bits; runs of them form the index: each upper node keeps the
+2. The 64 bits are cut into ``distance + 2`` fields, so fingerprints within ``distance``
+   bits agree on two of them at least. Rows ``(values of two fields, fingerprint)`` are range
+   partitioned and sorted by that key, then by Gray rank. A key with more rows than a
+   partition should hold is dealt anew by parts of its other bits, which loses no link either.
+   Neighbours in Gray order share most bits; runs of them form the index: each upper node keeps the
    bits that all fingerprints below share. The self join walks pairs of
    nodes from the top and drops a pair as soon as the bits shared by both differ
-   too often.
-3. A field value that runs over a partition's end is cut into blocks. Pairs of
+   too often, or as all rows below are in one group already.
+3. A key that runs over a partition's end all the same is cut into blocks. Pairs of
    blocks from different partitions are matched as rows of their own, after
    the same test on the blocks' shared bits, so no group must fit in one task.
 4. Links become components by star contraction. Within a task links are
    reduced to a spanning forest, never all pairs.
 
-Null and wordless texts have fingerprint zero and are linked like any other.
-Null ids: such rows keep their null id and get the component of their
-fingerprint (null if no document of it has an id). Repeated rows are in one
-component. Empty tables give no rows. Extra columns are ignored.
+Null and wordless texts have fingerprint zero and are linked like any other; very long texts are
+hashed whole, ``1 << 15`` shingles at a time. Rows with a null id are linked, too; the least id that is
+known stands for a component, null if there is none. Repeated rows are in one component. Pairs at
+exactly ``distance`` bits are linked. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm._shared import Scratch, row_key, text_bytes
+from hunkwise.llm._shared import NULL_ID, Scratch, row_key, text_bytes
 from hunkwise.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fan-out of the index, rows of a block, pairs of nodes looked at together.
 FAN, BLOCK, TOGETHER = 8, 512, 1 << 14
-#: Rows of the index that a partition holds at most, about.
-PARTITION_ROWS = 400_000
+#: Rows of the index that a partition holds at most, about; of how many rows one is looked at to find keys with more.
+PARTITION_ROWS, LOOKED_AT = 400_000, 64
+#: Rows with one key from which they are joined apart from the others.
+HOT_ROWS = 50_000
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -176,19 +181,30 @@ class GrayIndex:
             self.size.append(np.diff(np.append(cut, n)))
             group = group[cut]
 
-    def pairs(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row pairs of one group within ``distance`` bits, in batches."""
+    def pairs(self, distance: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row pairs of one group within ``distance`` bits, in batches.
+
+        ``label`` may change while pairs are taken; pairs of nodes whose rows all have one label are dropped.
+        """
         top = len(self.mask) - 1
         roots = np.arange(len(self.mask[top]))
         todo = [(top, roots, roots)] if top else []
+        work, ends = 0, None
         while todo:
             level, a, b = todo.pop()
             if len(a) > TOGETHER:
                 todo += [(level, a[lo : lo + TOGETHER], b[lo : lo + TOGETHER]) for lo in range(0, len(a), TOGETHER)]
                 continue
+            if label is not None and work > 4 * len(label):
+                work, ends = 0, self._labels(label)
+            if ends:
+                low, high = ends[level]
+                open_ = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
+                a, b = a[open_], b[open_]
             na, nb = self.size[level][a], self.size[level][b]
             many = na * nb
             at = np.repeat(np.arange(len(a)), many)
+            work += len(at)
             within = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
             ca = self.first[level][a][at] + within // nb[at]
             cb = self.first[level][b][at] + within % nb[at]
@@ -205,6 +221,13 @@ class GrayIndex:
             else:
                 todo.append((level - 1, ca, cb))
 
+    def _labels(self, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The least and greatest label below each node, by level."""
+        out = [(label.copy(), label.copy())]
+        for first in self.first[1:]:
+            out.append((np.minimum.reduceat(out[-1][0], first), np.maximum.reduceat(out[-1][1], first)))
+        return out
+
 
 def _nearest_first(i: np.ndarray, j: np.ndarray, lanes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs within ``limit`` bits over all lanes, nearest first."""
@@ -226,14 +249,14 @@ def _index_task(distance: int, limit: int | None):
         order = np.lexsort((gray_rank(lanes[0]), key))
         key, rep, lanes = key[order], rep[order], np.ascontiguousarray(lanes[:, order])
         forest = Forest(len(key))
-        for i, j in GrayIndex(lanes[0], key).pairs(distance):
+        for i, j in GrayIndex(lanes[0], key).pairs(distance, forest.label):
             forest.add(*(_nearest_first(i, j, lanes, limit) if limit is not None else (i, j)))
         i, j = forest.links(real=limit is not None)
         pid = TaskContext.get().partitionId()
         for lo in range(0, len(i), 50_000):
             yield _out(u=rep[i[lo : lo + 50_000]], v=rep[j[lo : lo + 50_000]])
         for k in dict.fromkeys((int(key[0]), int(key[-1]))):
-            a, b = np.searchsorted(key, [k, k + 1])
+            a, b = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
             for n, lo in enumerate(range(a, b, BLOCK)):
                 f, r = lanes[:, lo : min(b, lo + BLOCK)], rep[lo : min(b, lo + BLOCK)]
                 low, high = np.bitwise_and.reduce(f[0]), np.bitwise_or.reduce(f[0])
@@ -273,30 +296,59 @@ def _block_task(distance: int, limit: int | None):
     return run
 
 
+def masks(distance: int, bits: int = 0) -> list[int]:
+    """Bit masks such that fingerprints within ``distance`` bits, equal on ``bits``, agree on one of them.
+
+    Without ``bits`` two of ``distance + 2`` fields each, else ``bits`` and a part of the others each.
+    """
+    free = [i for i in range(64) if not bits >> i & 1]
+    parts = distance + (1 if bits else 2)
+    fields = [sum(1 << i for i in free[len(free) * k // parts : len(free) * (k + 1) // parts]) for k in range(parts)]
+    return [bits | f for f in fields] if bits else [a | b for a, b in combinations(fields, 2)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _by_masks(distinct: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """``key, rep, l0``: a row for each mask, more for a key that has too many rows."""
+    of = {None: masks(distance)}
+    rows = distinct.select("rep", F.col("fp").alias("l0"), F.explode(F.array(*[F.lit(_signed(m)) for m in of[None]])).alias("mask"))
+    key = F.xxhash64(F.col("l0").bitwiseAND(F.col("mask")), "mask").alias("key")
+    whole = rows.select(key, "rep", "l0", "mask")
+    # A key with more rows than a partition should hold, by a look at some of them; a miss costs time, no link.
+    some = whole.where(F.pmod(F.xxhash64("l0", F.lit(9)), F.lit(LOOKED_AT)) == 0)
+    large = some.groupBy("key").count().where(F.col("count") > PARTITION_ROWS / LOOKED_AT).select("key")
+    large = scratch.put(large, "large")
+    if large.isEmpty():
+        return whole.drop("mask")
+    finer = F.create_map(*[F.lit(x) for m in of[None] for x in (_signed(m), [_signed(y) for y in masks(distance, m)])])
+    again = whole.join(large, "key", "left_semi").select("rep", "l0", F.explode(F.element_at(finer, F.col("mask"))).alias("mask")).select(key, "rep", "l0")
+    return whole.join(large, "key", "left_anti").select("key", "rep", "l0").unionByName(again)
+
+
 def links(distinct: DataFrame, distance: int, scratch: Scratch, lanes: list[str] | None = None, fields: list[tuple[int, int]] | None = None, limit: int | None = None) -> DataFrame:
     """Links ``u, v`` between the ``rep`` of fingerprints within ``distance`` bits, each group spanned.
 
-    ``distinct`` has ``rep`` and one row per fingerprint ``fp``. By default the bit
-    fields are such that no link is missed. With several ``lanes`` each lane is indexed by
-    the given fields, and a pair also needs at most ``limit`` differing bits over all
-    lanes; the links are then pairs that were found near, not stars.
+    ``distinct`` has ``rep`` and one row per fingerprint ``fp``; no link is missed. With several
+    ``lanes`` each lane is indexed by the given fields, and a pair also needs at most ``limit``
+    differing bits over all lanes; the links are then pairs that were found near, not stars.
     """
     spark = distinct.sparkSession
-    lanes = lanes or ["fp"]
-    if fields is None:
-        ends = [round(64 * i / (distance + 1)) for i in range(distance + 2)]
-        fields = list(zip(ends[:-1], ends[1:], strict=True))
-    rows = []
-    for n, lane in enumerate(lanes):
-        turned = [F.col(c) for c in lanes[n:] + lanes[:n]]
-        for m, (a, b) in enumerate(fields):
-            # Fields of over 48 bits (a distance of 0) are keyed by their low bits; the index compares all.
-            width = min(b - a, 48)
-            part = F.shiftrightunsigned(F.shiftleft(lane, 64 - a - width), 64 - width)
-            key = part.bitwiseOR(F.lit((n * len(fields) + m) << 48))
-            rows.append(F.struct(key.alias("key"), *[c.alias(f"l{k}") for k, c in enumerate(turned)]))
-    dealt = distinct.select("rep", F.explode(F.array(*rows)).alias("r")).select("r.key", "rep", *[f"r.l{k}" for k in range(len(lanes))])
-    n = distinct.count() * len(rows)
+    n = distinct.count()
+    if lanes is None:
+        dealt, n = _by_masks(distinct, distance, scratch), n * len(masks(distance))
+    else:
+        rows = []
+        for k, lane in enumerate(lanes):
+            turned = [F.col(c) for c in lanes[k:] + lanes[:k]]
+            for m, (a, b) in enumerate(fields):
+                part = F.shiftrightunsigned(F.shiftleft(lane, 64 - b), 64 - b + a)
+                key = part.bitwiseOR(F.lit((k * len(fields) + m) << 48))
+                rows.append(F.struct(key.alias("key"), *[c.alias(f"l{j}") for j, c in enumerate(turned)]))
+        dealt = distinct.select("rep", F.explode(F.array(*rows)).alias("r")).select("r.key", "rep", *[f"r.l{k}" for k in range(len(lanes))])
+        n *= len(rows)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PARTITION_ROWS))
     dealt = dealt.withColumn("rank", _gray_sql("l0")).repartitionByRange(parts, "key", "rank").drop("rank")
     schema = "u long, v long, key long, block long, mask long, value long, fps binary, reps binary"
@@ -314,25 +366,50 @@ def links(distinct: DataFrame, distance: int, scratch: Scratch, lanes: list[str]
     return index.where("u is not null").select("u", "v").unionByName(across)
 
 
+def joined_apart(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``of`` says of their key; ``of`` has one row per key and the number ``many`` of its rows.
+
+    The keys of more than ``HOT_ROWS`` rows, hence a bounded share of all, are broadcast.
+    """
+    hot = F.broadcast(of.where(F.col("many") > HOT_ROWS).drop("many"))
+    rest = of.where(F.col("many") <= HOT_ROWS).drop("many")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id``: components of documents linked within ``distance`` bits."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.put(fingerprints(docs, shingle, seed, id_col=id_col, text_col=text_col), "fps")
-    distinct = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    known = distinct.where("rep is not null")
-    comp = components(links(known, distance, scratch), scratch)
-    of_fp = distinct.join(comp, distinct["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    of_fp = scratch.put(of_fp, "of_fp")
-    out = fps.join(of_fp, "fp")
+    distinct = scratch.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")), "distinct")
+    # A node is a fingerprint, whether or not a document of it has an id.
+    comp = components(links(distinct.select(F.col("fp").alias("rep"), "fp"), distance, scratch), scratch)
+    of = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", "many", F.coalesce("component", "fp").alias("root"))
+    of = scratch.put(of, "of")
+    least = of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
+    of_fp = scratch.put(joined_apart(of.select("root", "fp", F.col("many").alias("rows")), least, "root").select("fp", F.col("rows").alias("many"), "component_id"), "of_fp")
+    out = joined_apart(fps, of_fp, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of word pairs: hashes of 64 bits, the bit fields of each, differing bits
-#: of one and of all. Texts that share 0.8 of their 5-word shingles differ in about a
-#: tenth of the bits and agree on one of the 16 fields in 98 cases of 100.
+#: Fingerprints of word pairs: hashes of 64 bits.
 LANES = 4
-FIELDS = [(0, 14), (14, 28), (28, 42), (42, 56)]
-LANE_BITS, ALL_BITS = 16, 38
+
+
+def near_limits(similarity: float, shingle: int) -> tuple[list[tuple[int, int]], int, int]:
+    """Bit fields of a lane, and how many bits may differ in a lane and in all.
+
+    Scattered edits leave more of the word pairs alone than of longer shingles, an edit in one place as much;
+    the bits of majority fingerprints differ as the angle between the sets. The fields are
+    short enough for 98 of 100 pairs of the first kind to agree on one and 90 of the second, at ``similarity`` itself;
+    the limits are some deviations above what is expected of the second.
+    """
+    angle = lambda edited: math.acos(max(0.0, 1 - edited)) / math.pi
+    change = (1 - similarity) / (1 + similarity)  # shingles, as a share of a text's
+    found = lambda width, apart: 1 - (1 - (1 - apart) ** width) ** (LANES * (64 // width))
+    width = max((w for w in range(4, 25) if found(w, angle(2 * change / shingle)) >= 0.98 and found(w, angle(change)) >= 0.9), default=4)
+    apart = angle(change)
+    most = lambda bits, deviations: round(bits * apart + deviations * math.sqrt(bits * apart * (1 - apart)))
+    return [(i * width, (i + 1) * width) for i in range(64 // width)], most(64, 4.2), most(64 * LANES, 2.95)
 
 
 def _set_task(shingle: int):
@@ -452,26 +529,27 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int, id_col: str, text
     scratch = Scratch(docs.sparkSession, "similar")
     names = [f"f{i}" for i in range(LANES)]
     fps = scratch.put(fingerprints(docs, 2, lanes=LANES, exact=shingle, id_col=id_col, text_col=text_col), "fps")
-    # A node is a set of shingles; ``first`` is null if no document of it has an id.
+    # A node is a set of shingles; ``first`` is null if no document of it has an id, ``any`` names a text.
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_th"))).alias("first")
-    all_nodes = scratch.put(fps.groupBy("node", *names).agg(first), "nodes")
-    known = all_nodes.where("first is not null")
+    text = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("_th").alias("th"))).alias("any")
+    known = scratch.put(fps.groupBy("node", *names).agg(first, text, F.count("*").alias("many")), "nodes")
     # One node of each fingerprint is indexed; that others have it makes them candidates only.
-    distinct = scratch.put(known.groupBy(*names).agg(F.min("node").alias("rep"), F.count("*").alias("many")), "distinct")
-    shared = known.join(distinct.where("many > 1"), names).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
-    found = scratch.put(links(distinct.drop("many"), LANE_BITS, scratch, names, FIELDS, ALL_BITS).unionByName(shared).distinct(), "found")
+    distinct = scratch.put(known.groupBy(*names).agg(F.min("node").alias("rep"), F.count("*").alias("kinds")), "distinct")
+    shared = known.join(distinct.where("kinds > 1"), names).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    fields, of_lane, of_all = near_limits(similarity, shingle)
+    found = scratch.put(links(distinct.drop("kinds"), of_lane, scratch, names, fields, of_all).unionByName(shared).distinct(), "found")
     nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    keys = known.join(nodes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first._th").alias("_th"))
+    keys = known.join(nodes, "node").select("node", F.col("any.id").alias("_id"), F.col("any.th").alias("_th"))
     texts = docs.select(*row_key(id_col, text_col), text_bytes(text_col).alias("_t")).join(keys.hint("shuffle_hash"), ["_id", "_th"]).select("node", "_t")
     sets = scratch.put(texts.mapInArrow(_set_task(shingle), "node long, grams binary").groupBy("node").agg(F.min("grams").alias("grams")), "sets")
     scratch.release()
     pairs = found.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
     true = scratch.put(pairs.select("u", "v", "gu", "gv").mapInArrow(_verify_task(similarity), "u long, v long"), "true")
     comp = components(_rest(found, true, sets, similarity, scratch), scratch)
-    of = scratch.put(all_nodes.join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("c")), "component")
+    of = scratch.put(known.join(comp, "node", "left").select("node", "first", "many", F.coalesce("component", "node").alias("c")), "component")
     least = scratch.put(of.groupBy("c").agg(F.min("first").alias("least")), "least")
-    of = scratch.put(of.join(least, "c").select("node", F.col("least.doc_id").alias("component_id"), F.col("least._th").alias("component_th")), "of_node")
-    return fps.join(of, "node").select("doc_id", "_th", "component_id", "component_th")
+    of = scratch.put(of.join(least, "c").select("node", "many", F.col("least.doc_id").alias("component_id"), F.col("least._th").alias("component_th")), "of_node")
+    return joined_apart(fps, of, "node").select("doc_id", "_th", "component_id", "component_th")
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -491,15 +569,17 @@ def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     Rows are told apart by id and text: of rows that share an id each text is in its own group.
     """
     scratch = Scratch(docs.sparkSession, "copies")
-    key = [F.col(id_col).cast("long"), row_key(id_col, text_col)[1]]
     groups = _grouped(docs, similarity, shingle, id_col, text_col).where("doc_id is not null and (doc_id <> component_id or _th <> component_th)")
-    gone = scratch.put(groups.select(F.col("doc_id").alias("_gone"), F.col("_th").alias("_gone_th")).distinct(), "gone")
-    kept = docs.join(gone.hint("shuffle_hash"), (key[0] == F.col("_gone")) & (key[1] == F.col("_gone_th")), "left_anti")
+    gone = scratch.put(groups.select(F.col("doc_id").alias("gone"), F.col("_th").alias("gone_th")).distinct(), "gone")
+    # The documents' columns go by place, whatever their names.
+    place = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(c).alias(p) for c, p in zip(docs.columns, place, strict=True)], F.col(id_col).cast("long").alias("key"), row_key(id_col, text_col)[1].alias("key_th"))
+    kept = rows.join(gone.hint("shuffle_hash"), (F.col("key") == F.col("gone")) & (F.col("key_th") == F.col("gone_th")), "left_anti")
     # Rows equal in id and text are one document, too.
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(key[0].alias("_again"), key[1].alias("_again_th")).count().where("count > 1").select("_again", "_again_th")
+    again = rows.where("key is not null").groupBy(F.col("key").alias("again"), F.col("key_th").alias("again_th")).count().where("count > 1").select("again", "again_th")
     again = scratch.put(again, "again")
-    if again.isEmpty():
-        return kept
-    same = (key[0] == F.col("_again")) & (key[1] == F.col("_again_th"))
-    once = kept.join(again, same, "left_semi").withColumn("_copy_th", key[1]).dropDuplicates([id_col, "_copy_th"]).drop("_copy_th")
-    return kept.join(again, same, "left_anti").unionByName(once)
+    if not again.isEmpty():
+        same = (F.col("key") == F.col("again")) & (F.col("key_th") == F.col("again_th"))
+        once = kept.join(again, same, "left_semi").dropDuplicates(["key", "key_th"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.select(*[F.col(p).alias(c) for c, p in zip(docs.columns, place, strict=True)])

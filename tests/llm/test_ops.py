@@ -113,6 +113,86 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def slow_components(ids, fps, distance=4):
+    label = groups(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= distance)
+    least = defaultdict(lambda: None)
+    for i, x in zip(ids, label, strict=True):
+        if i is not None:
+            least[x] = i if least[x] is None else min(least[x], i)
+    return [least[x] for x in label]
+
+
+@pytest.mark.parametrize("rows", [400_000, 40])
+def test_simhash_links_null_ids_and_large_keys(spark, monkeypatch, rows):
+    """Null ids that bridge others, and keys that are dealt anew, against all pairs."""
+    monkeypatch.setattr(simhash, "PARTITION_ROWS", rows)
+    monkeypatch.setattr(simhash, "LOOKED_AT", 1)
+    monkeypatch.setattr(simhash, "HOT_ROWS", 2)
+    r = random.Random(12)
+    table = [(7, 0), (None, 0b11), (9, 0b111111), (None, 1 << 63), (None, (1 << 63) - 1), (3, 0b111111)]
+    for i in range(60):
+        fp = r.getrandbits(64) if i % 3 else 0x5555555500000000 | r.getrandbits(10) << 3
+        for j in range(4):
+            table.append((r.choice([None, 100 + 9 * i + j]), fp))
+            fp ^= sum(1 << b for b in r.sample(range(64), r.choice([2, 4, 5])))
+    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in table], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_, **__: df)
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect())
+    want = slow_components([i for i, _ in table], [x for _, x in table])
+    assert want[:3] == [3, 3, 3]
+    assert got == Counter((i, f"{x:016x}", c) for (i, x), c in zip(table, want, strict=True))
+
+
+def test_masks_cover_all_pairs():
+    r = random.Random(13)
+    for distance in (0, 1, 4, 7):
+        for m in simhash.masks(distance)[:4]:
+            finer = simhash.masks(distance, m)
+            for _ in range(50):
+                change = sum(1 << b for b in r.sample([b for b in range(64)], distance))
+                assert any(not change & x for x in simhash.masks(distance))
+                assert change & m or any(not change & x for x in finer)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.8])
+def test_recall_of_near_copies(spark, similarity):
+    """Planted pairs at the threshold and above, against exact sets; scattered edits and edits at one end."""
+    r, texts = random.Random(int(100 * similarity)), []
+    for k in range(150):
+        base = prose(r.choice([60, 200, 500]), 9000 + k)
+        n = len(base.split())
+        edits = max(1, int(n * (1 - similarity) / (1 + similarity) / 5 * r.choice([0.6, 0.95])))
+        texts += [base, near(base, edits, k) if k % 3 else " ".join(base.split()[: int(n * (similarity + 0.03))])]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for t in texts for w in [t.split()]]
+    true = [k for k in range(0, len(texts), 2) if len(grams[k] & grams[k + 1]) >= similarity * len(grams[k] | grams[k + 1])]
+    got = dict(collected(simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), similarity)))
+    found = sum(got[k] == got[k + 1] for k in true)
+    print(f"near copies at {similarity}: {found} of {len(true)} pairs")
+    assert len(true) > 80
+    assert found >= 0.9 * len(true)
+    assert all(got[k] == k for k in range(0, len(texts), 2))
+
+
+def test_null_ids_bridge_near_copies(spark):
+    a = prose(300, 71)
+    b = near(a, 5, 1)
+    c = " ".join([*b.split()[:280], *prose(20, 72).split()])
+    texts = [a, b, c]
+    table = [(7, a), (None, b), (9, c), (None, prose(80, 73)), (11, prose(90, 74))]
+    assert slow_similar(texts) == [0, 0, 0]
+    assert slow_similar([a, c]) == [0, 1]
+    got = collected(simhash.similar_groups(spark.createDataFrame(table, "doc_id long, text string")))
+    assert Counter(got) == Counter([(7, 7), (None, 7), (9, 7), (None, None), (11, 11)])
+
+
+def test_copies_whatever_the_columns(spark):
+    a = prose(80, 75)
+    df = spark.createDataFrame([(1, a, 1, 2), (2, a, 3, 4), (3, None, 5, 6)], "doc_id long, text string, gone long, _c0 long").withColumnRenamed("gone", "_gone")
+    got = simhash.without_copies(df)
+    assert got.columns == df.columns
+    assert Counter(collected(got)) == Counter([(1, a, 1, 2), (3, None, 5, 6)])
+
+
 def test_gray_index_finds_all_pairs_and_blocks_do(spark, monkeypatch):
     base = np.random.default_rng(1).integers(0, 2**63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base ^ np.uint64(x) for x in (0, 1, 3, 7, 15, 31, 1 << 40, 5 << 50)] + [np.arange(60, dtype=np.uint64)]))
