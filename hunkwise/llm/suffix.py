@@ -10,19 +10,21 @@ are first dealt to initial q-gram buckets:
    A pointer's bucket is its q-gram's hash; its context are the bytes of
    all strings that it stands for.
 2. Buckets with one pointer are done. Of the others, contexts that occur as a
-   whole at least twice are removed whole; that takes only counts.
-3. The remaining contexts are compared with the different contexts of their
-   bucket. A bucket of up to ``SMALL`` contexts is refined in one task: positions
-   get the bucket of their first bytes, then, with twice the bytes each time, the
-   bucket of the pair (own bucket, bucket at a later offset), until buckets
-   stand for ``length`` bytes. Larger buckets are refined by counts, which are
-   aggregated before they are shuffled: contexts are cut by the distance of their
-   strings to the pointer, each cut gets a bucket of the bytes that its strings share,
-   and of cuts that still differ within a bucket each string's hash is counted.
+   whole at least twice are removed whole; that takes only counts. Pointers of a batch are
+   grouped by bucket and context before anything is shuffled, so that a context of many
+   copies is a row for each batch, and its copies within a batch need no join.
+3. The contexts that remain in a bucket are suffix-sorted together (``refine``): from their first
+   bytes on, buckets are refined by sorting on the bucket pointers of a later offset, which
+   at once count for the buckets that are still to be refined; neighbours in the order that agree on
+   ``length`` bytes are repeats. A bucket of more contexts than a task should take
+   (``TASK_CONTEXTS``) is refined by tables in the same sense: contexts are cut by the distance of
+   their strings to the pointer, a cut's bucket is that of the bytes that its strings share, and of cuts that
+   still differ within a bucket each string gets its own. A bucket is then a key that is counted, aggregated
+   before it is shuffled.
 
 Texts join by id and hash. Null texts are empty; texts shorter than ``length`` stay
-whole. Rows equal in id and text (null ids too) get the same result, and each
-counts as an occurrence. Empty tables give no rows. Extra columns are ignored.
+whole; very long ones are read ``SEGMENT`` bytes at a time. Of equal q-grams the leftmost is the pointer. Rows
+equal in id and text (null ids too) get the same result, and each counts as an occurrence. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ from hunkwise.llm._shared import Scratch, row_key, text_bytes
 
 #: Bytes of the initial q-grams.
 GRAM = 40
-#: Different contexts of a bucket that are refined in one task.
-SMALL = 48
+#: Different contexts of a bucket that are refined in one task; in how many turns a pass takes its buckets.
+TASK_CONTEXTS, TURNS = 2048, 4
 #: Strings of a cut of a context in a larger bucket.
 CUT = 20
 #: Bytes of contexts refined together.
@@ -109,23 +111,70 @@ def pointers(text: bytes, length: int, gram: int = GRAM) -> list[tuple[int, int,
     return out
 
 
+def _heads(data: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The first eight bytes from each place on as a number; what is past its context's end counts as zero."""
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        later = np.zeros(len(data), np.uint64)
+        later[: len(data) - k] = data[k:]
+        later[room <= k] = 0
+        out = out << np.uint64(8) | later
+    return out
+
+
+def suffix_order(data: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
+    """All places of ``data`` in the order of their first ``length`` bytes at least, by bucket pointers.
+
+    ``room`` are the bytes from each place to its context's end. A bucket's pointer is the place of its
+    last member in the order, so refining one bucket leaves all other pointers as they are.
+    """
+    head = _heads(data, room)
+    order = np.argsort(head, kind="stable")
+    last = np.append(head[order[1:]] != head[order[:-1]], True) if len(order) else np.zeros(0, bool)
+    ends = np.flatnonzero(last)
+    pointer = np.zeros(len(data), np.int64)
+    pointer[order] = ends[np.searchsorted(ends, np.arange(len(data)))]
+    sizes = np.diff(ends, prepend=-1)
+    open_ = np.repeat(sizes > 1, sizes)
+    deep = 8
+    while deep < length and open_.any():
+        places = np.flatnonzero(open_)
+        cuts = np.searchsorted(places, [pointer[order[p]] for p in places[len(places) * np.arange(1, TURNS) // TURNS]], "right")
+        for turn in np.split(places, cuts):
+            if not len(turn):
+                continue
+            at = order[turn]
+            # What an earlier turn refined is sorted deeper already, and so is what points there.
+            later = np.where(room[at] > deep, pointer[np.minimum(at + deep, len(data) - 1)], -1)
+            rank = np.lexsort((later, pointer[at]))
+            at, later = at[rank], later[rank]
+            differs = (pointer[at][1:] != pointer[at][:-1]) | (later[1:] != later[:-1])
+            ends = np.flatnonzero(np.append(differs, True))
+            order[turn] = at
+            sizes = np.diff(ends, prepend=-1)
+            pointer[at] = np.repeat(turn[ends], sizes)
+            open_[turn] = np.repeat(sizes > 1, sizes)
+        deep *= 2
+    return order
+
+
 def refine(contexts: list[bytes], length: int) -> list[np.ndarray]:
     """Of each context, which of its ``length``-byte strings occur at least twice in all contexts."""
     sizes = np.array([len(c) for c in contexts])
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes to the context's end
-    bucket = np.unique(data, return_inverse=True)[1].astype(np.int64)
-    covered, at = 1, np.arange(len(data))
-    while covered < length:
-        step = min(covered, length - covered)
-        at = np.flatnonzero(room >= covered + step)
-        pair = bucket[at] * (int(bucket.max()) + 1) + bucket[at + step]
-        ids = np.unique(pair, return_inverse=True)[1]
-        bucket = np.zeros(len(data), np.int64)
-        bucket[at] = ids
-        covered += step
-    twice = np.bincount(bucket[at])[bucket[at]] > 1 if len(at) else np.zeros(0, bool)
-    return np.split(twice, np.cumsum(sizes - length + 1)[:-1])
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+    order = suffix_order(data, room, length)
+    order = order[room[order] >= length]
+    a, b = order[:-1], order[1:]
+    same = np.ones(len(a), bool)
+    words = np.lib.stride_tricks.sliding_window_view(data, min(8, length)) if len(data) >= min(8, length) else data[:0, None]
+    for k in [*range(0, length - 7, 8), length - 8] if length >= 8 else [0]:
+        left = np.flatnonzero(same)
+        same[left] = (words[a[left] + k] == words[b[left] + k]).all(axis=1)
+    twice = np.zeros(len(data), bool)
+    twice[a[same]] = twice[b[same]] = True
+    strings = np.flatnonzero(room >= length)
+    return np.split(twice[strings], np.cumsum(sizes - length + 1)[:-1])
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -146,26 +195,42 @@ def covered_spans(ranges: list[tuple[int, int]], length: int) -> list[tuple[int,
 
 
 def _pointer_task(length: int):
+    """Rows ``_id, _th, rid`` of the texts, and the pointers of a batch by bucket and context."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, hashes, rids, cols = [], [], [], [[], [], [], []]
-            for i, t, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found = pointers(text, length) if len(text) >= length else []
+            ids, hashes, found = [], [], []
+            for i, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = text.as_py()
+                own = np.array(pointers(text, length) if len(text) >= length else [], np.int64).reshape(-1, 4)
+                found.append(np.column_stack([own, np.full(len(own), n + len(ids))]))
                 ids.append(i)
                 hashes.append(t)
-                rids.append(n)
-                n += 1
-                for c, x in zip(cols, list(zip(*found, strict=True)) or [()] * 4, strict=True):
-                    c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            arrays = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(rids, pa.int64())]
-            arrays += [pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_th", "rid", "bucket", "context", "first", "last"])
+            rows = len(ids)
+            yield _pointer_rows(_id=pa.array(ids, pa.int64()), _th=pa.array(hashes, pa.int64()), rid=pa.array(np.arange(n, n + rows)))
+            n += rows
+            table = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+            if not len(table):
+                continue
+            table = table[np.lexsort((table[:, 1], table[:, 0]))]
+            first = np.flatnonzero(np.append(True, (table[1:, :2] != table[:-1, :2]).any(axis=1)))
+            refs = pa.StructArray.from_arrays([pa.array(table[:, 4]), pa.array(table[:, 2].astype(np.int32)), pa.array(table[:, 3].astype(np.int32))], names=["rid", "first", "last"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(table)).astype(np.int32)), refs)
+            yield _pointer_rows(bucket=pa.array(table[first, 0]), context=pa.array(table[first, 1]), refs=lists)
 
     return run
 
 
+_REF = pa.struct([("rid", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+_POINTERS = {"_id": pa.int64(), "_th": pa.int64(), "rid": pa.int64(), "bucket": pa.int64(), "context": pa.int64(), "refs": pa.list_(_REF)}
+
+
+def _pointer_rows(**cols) -> pa.RecordBatch:
+    n = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([cols[k] if k in cols else pa.nulls(n, t) for k, t in _POINTERS.items()], names=list(_POINTERS))
+
+
 def _context_task(length: int):
     """The context bytes of the listed pointers of each text; of a large bucket each string's hash."""
 
@@ -263,20 +328,23 @@ def _cut_task(length: int):
 def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, _th, ranges``: where strings of ``length`` bytes start that occur elsewhere, too."""
     keyed = docs.select(*row_key(id_col, text_col), text_bytes(text_col).alias("_t"))
-    schema = "_id long, _th long, rid long, bucket array<long>, context array<long>, first array<int>, last array<int>"
+    schema = "_id long, _th long, rid long, bucket long, context long, refs array<struct<rid:long,first:int,last:int>>"
     texts = scratch.put(keyed.mapInArrow(_pointer_task(length), schema), "pointers")
-    one = texts.select("rid", F.explode(F.arrays_zip("bucket", "context", "first", "last")).alias("p")).select("rid", "p.*")
-    contexts = one.groupBy("bucket", "context").agg(F.count("*").alias("n"))
+    docs_of = texts.where("rid is not null").select("_id", "_th", "rid")
+    one = texts.where("bucket is not null").select("bucket", "context", "refs")
+    many = F.size("refs").cast("long")
+    contexts = one.groupBy("bucket", "context").agg(F.sum(many).alias("n"))
     buckets = contexts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count("*").alias("kinds"))
     buckets = scratch.put(buckets.where("n > 1").select("bucket", "least", "kinds"), "buckets")
     scratch.release()
     shared = scratch.put(one.join(buckets, "bucket"), "shared")
     scratch.release()
-    counts = scratch.put(shared.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last")).alias("rep"), F.max("kinds").alias("kinds"), F.min("least").alias("least")), "contexts")
-    whole = shared.join(counts.where("n > 1").select("bucket", "context"), ["bucket", "context"]).select("rid", "first", "last")
+    counts = scratch.put(shared.groupBy("bucket", "context").agg(F.sum(many).alias("n"), F.min(F.element_at("refs", 1)).alias("rep"), F.max("kinds").alias("kinds"), F.min("least").alias("least")), "contexts")
+    # What occurs twice in a batch needs no count of the others.
+    twice = shared.where(many > 1).select("refs").unionByName(shared.where(many == 1).join(counts.where("n > 1").select("bucket", "context"), ["bucket", "context"]).select("refs"))
+    whole = twice.select(F.explode("refs").alias("r")).select("r.*")
     # Of buckets with different contexts, one of them single, one pointer for each context goes on.
-    reps = counts.where("kinds > 1 and least = 1").select("bucket", "rep.*", (F.col("n") == 1).alias("edge"), (F.col("kinds") > SMALL).alias("large"))
-    docs_of = texts.select("_id", "_th", "rid")
+    reps = counts.where("kinds > 1 and least = 1").select("bucket", "rep.*", (F.col("n") == 1).alias("edge"), (F.col("kinds") > TASK_CONTEXTS).alias("large"))
     listed = reps.join(docs_of, "rid").groupBy("_id", "_th").agg(F.collect_list(F.struct("rid", "bucket", "first", "last", "edge", "large")).alias("refs"))
     listed = scratch.put(listed, "listed")
     # Repeats of a row give its contexts more than once, which the next steps drop.

@@ -291,9 +291,9 @@ def slow_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("small", [1, 48])
-def test_suffix(docs, empty, monkeypatch, small):
-    monkeypatch.setattr(suffix, "SMALL", small)
+@pytest.mark.parametrize("contexts", [1, 2048])
+def test_suffix(docs, empty, monkeypatch, contexts):
+    monkeypatch.setattr(suffix, "TASK_CONTEXTS", contexts)
     got = collected(suffix.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
     want = [(i, *w) for (i, _), w in zip(ROWS, slow_repeats([data(t) for _, t in ROWS], 200), strict=True)]
     assert Counter(got) == Counter(want)
@@ -312,6 +312,34 @@ def test_suffix_segments_and_refinement(monkeypatch):
     assert suffix.refine([b"y" * 201], 200)[0].tolist() == [True, True]
 
 
+def test_refinement_against_counting():
+    r = random.Random(21)
+    for length, letters in ((5, "ab"), (8, "ab"), (9, "a"), (30, "ab"), (37, "abc"), (200, "ab")):
+        base = "".join(r.choices(letters, k=600)).encode()
+        contexts = []
+        for _ in range(25):
+            a = r.randrange(300)
+            c = bytearray(base[a : a + length + r.randrange(60)])
+            for _ in range(r.choice([0, 0, 1, 2])):
+                c[r.randrange(len(c))] = r.choice(b"ab\0")
+            contexts.append(bytes(c))
+        seen = Counter(c[p : p + length] for c in contexts for p in range(len(c) - length + 1))
+        got = suffix.refine(contexts, length)
+        assert [g.tolist() for g in got] == [[seen[c[p : p + length]] > 1 for p in range(len(c) - length + 1)] for c in contexts]
+
+
+def test_suffix_of_many_contexts(spark, monkeypatch):
+    """One passage in many surroundings, in tasks and by tables."""
+    r = random.Random(22)
+    passage = prose(60, 23)
+    texts = [prose(r.randint(1, 20)) + r.choice([" ", "\n"]) + passage + r.choice([" ", "; "]) + prose(r.randint(1, 20)) for _ in range(120)] + [passage[:-3]] * 2
+    want = Counter((i, *w) for i, w in enumerate(slow_repeats([data(t) for t in texts], 200)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for contexts in (10, 2048):
+        monkeypatch.setattr(suffix, "TASK_CONTEXTS", contexts)
+        assert Counter(collected(suffix.remove_repeats(df).drop("spans"))) == want
+
+
 # --- 3 ---
 
 
