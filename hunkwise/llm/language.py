@@ -10,20 +10,20 @@ language against the rest. As the kernel is linear in a text's set up to its nor
 landmarks, Nyström map and weights are multiplied into one matrix; texts
 are scored by matrix products of whole batches with it.
 
-Fitting uses a bounded sample: about ``per_lang`` rows of each language, chosen by
-a hash of the id; their sets (a few KB each, of a long text those of ``LEARNED`` parts
-spread over it) are collected. Everything else
-covers all rows, without a shuffle.
-
-Null texts and texts without a letter are ``und`` with score 0. Rows with a null id
-or null language, and held-out rows, are never learned from; a null id is not held
-out. Without anything to learn from every row is ``und``. With one language all
-texts with a letter are of it. Extra columns are ignored by ``predict``.
+Fitting uses a bounded sample: about ``per_lang`` rows of each of the ``most_langs`` most frequent
+languages, chosen by a hash of the id; their sets (a few KB each, of a long text those of ``LEARNED`` parts
+spread over it) are collected. Everything else covers all rows, without a shuffle.
+
+Null texts and texts without a letter (Unicode category L) are ``und`` with score and value 0. Rows with a
+null id or null language, and held-out rows, are never learned from; a null id is not held
+out. Repeated rows are learned from as often as they come and predicted alike. Of languages that tie the
+first by name is predicted; of languages as frequent the first by name are learned. Without anything to learn
+from every row is ``und``. With one language all texts with a letter are of it. Extra columns are ignored by
+``predict`` and kept by ``recognised``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +43,8 @@ SEGMENT = 1 << 20
 SHARPNESS = 6.0
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter, as Spark's regular expressions know it.
+_LETTER = r"\p{L}"
 
 
 def gram_set(text: bytes, out: np.ndarray) -> None:
@@ -75,8 +76,8 @@ class Model:
     def values(self, sets: np.ndarray) -> np.ndarray:
         return (sets @ self.matrix) / np.sqrt(np.maximum(sets.sum(axis=1, keepdims=True), 1))
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Scores of each text: the softmax of its parts' mean values."""
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of each text, the means of its parts', and their softmax."""
         total = np.zeros((len(texts), len(self.langs)))
         todo = [(i, a, b) for i, t in enumerate(texts) for a, b in parts(t)]
         for lo in range(0, len(todo), 128):
@@ -85,9 +86,9 @@ class Model:
             for row, (i, a, b) in zip(sets, some, strict=True):
                 gram_set(texts[i][a:b], row)
             np.add.at(total, [i for i, _, _ in some], self.values(sets))
-        z = SHARPNESS * total / np.maximum(np.bincount([i for i, _, _ in todo], minlength=len(texts)), 1)[:, None]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        total /= np.maximum(np.bincount([i for i, _, _ in todo], minlength=len(texts)), 1)[:, None]
+        z = np.exp(SHARPNESS * (total - total.max(axis=1, keepdims=True)))
+        return total, z / z.sum(axis=1, keepdims=True)
 
 
 def _unit_sets(packed: np.ndarray) -> np.ndarray:
@@ -141,18 +142,14 @@ def _set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(packed, pa.binary())], names=["lang", "bits"])
 
 
-def learn(docs: DataFrame, per_lang: int = 1000, landmarks: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def learn(docs: DataFrame, per_lang: int = 1000, landmarks: int = 400, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on about ``per_lang`` rows of each language that are not held out."""
     usable = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 30)).alias("dice")
     )
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1 << 30, (per_lang << 30) // n))).otherwise(share)
-    rows = usable.where((F.col("dice") < share) & F.col("text").rlike(r"\p{L}")).select("lang", "text").mapInArrow(_set_task, "lang string, bits binary").collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    share = F.broadcast(counts.select("lang", (F.lit(per_lang << 30) / F.col("count")).alias("share")))  # ``most_langs`` rows
+    rows = usable.join(share, "lang").where((F.col("dice") < F.col("share")) & F.col("text").rlike(_LETTER)).select("lang", "text").mapInArrow(_set_task, "lang string, bits binary").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])[::-1]))
     if not rows:
         return None
@@ -160,36 +157,52 @@ def learn(docs: DataFrame, per_lang: int = 1000, landmarks: int = 400, id_col: s
     return fit(packed, [r[0] for r in rows], landmarks)
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row; with ``keep`` these columns instead of the first two."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # DIM times languages numbers
+def _predict_task(held):
+    """``lang_pred, score, value`` before the columns that follow the text and whether it has a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            texts = batch.column(0)
-            langs, scores = [], []
+            langs, scores, tops = [], [], []
             for lo in range(0, batch.num_rows, 128):
-                part = texts.slice(lo, 128).to_pylist()
-                ok = [t is not None and _LETTER.search(t) is not None for t in part]
-                if model is None:
-                    ok = [False] * len(part)
-                else:
-                    p = model.scores([t.encode("utf-8", "surrogatepass") if good else b"" for t, good in zip(part, ok, strict=True)])
-                    best = p.argmax(axis=1)
+                part = batch.column(0).slice(lo, 128).to_pylist()
+                ok = batch.column(1).slice(lo, 128).to_pylist() if model else [False] * len(part)
+                values, chances = model.scores([t.encode("utf-8", "surrogatepass") if good else b"" for t, good in zip(part, ok, strict=True)]) if model else (None, None)
                 for i, good in enumerate(ok):
-                    langs.append(model.langs[best[i]] if good else "und")
-                    scores.append(float(p[i, best[i]]) if good else 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[1:]], names=["lang_pred", "score", *batch.schema.names[1:]])
-
-    text = F.col(text_col).cast("string").alias("_t")
-    if keep is None:
-        rows = docs.select(text, F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"))
-        return rows.mapInArrow(run, "lang_pred string, score double, doc_id long, held_out boolean").select("doc_id", "held_out", "lang_pred", "score")
-    rows = docs.select(text, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)])
-    kinds = "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = rows.mapInArrow(run, "lang_pred string, score double" + kinds)
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias("_lang_pred"), F.col("score").alias("_score"))
+                    best = int(values[i].argmax()) if good else 0
+                    langs.append(model.langs[best] if good else "und")
+                    scores.append(float(chances[i, best]) if good else 0.0)
+                    tops.append(float(values[i, best]) if good else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(tops, pa.float64()), *batch.columns[2:]], names=["lang_pred", "score", "value", *batch.schema.names[2:]])
+
+    return run
+
+
+def _rows(docs: DataFrame, text_col: str) -> list:
+    text = F.col(text_col).cast("string")
+    return [text.alias("_t"), F.coalesce(text.rlike(_LETTER), F.lit(False)).alias("_l")]
+
+
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, held_out, lang_pred, score, value`` of every row; ``value`` is the winning regression's."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # DIM times languages numbers
+    rows = docs.select(*_rows(docs, text_col), F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"))
+    return rows.mapInArrow(_predict_task(held), "lang_pred string, score double, value double, doc_id long, held_out boolean").select("doc_id", "held_out", "lang_pred", "score", "value")
+
+
+def recognised(docs: DataFrame, model: Model | None, langs: list[str] | None = None, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that a language's regression against the rest claims.
+
+    That is with a winning value over ``least``, in one of ``langs`` if given. Without a model no row is.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*_rows(docs, text_col), *[F.col(c).alias(p) for c, p in zip(docs.columns, place, strict=True)])
+    kinds = "".join(f", {p} {f.dataType.simpleString()}" for p, f in zip(place, docs.schema.fields, strict=True))
+    found = rows.mapInArrow(_predict_task(held), "lang_pred string, score double, value double" + kinds).where((F.col("lang_pred") != "und") & (F.col("value") > least))
+    if langs is not None:
+        found = found.where(F.col("lang_pred").isin(langs))
+    return found.select(*[F.col(p).alias(c) for c, p in zip(docs.columns, place, strict=True)])
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

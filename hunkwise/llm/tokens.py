@@ -9,19 +9,17 @@ its bytes (of equals the first).
 Sections are by default a document's lines, line end included, so they cover it.
 ``sections`` may instead name fields that are joined by ``\\n`` to one text.
 
-The tokenizer is byte-level, so spans are sums of the tokens' lengths and
-distinct pieces are encoded once. It never joins across the pieces cut here:
-a run of non-space with one space before it, and white space before and between.
+The tokenizer is byte-level: a token is a run of the text's bytes, so the offsets are
+exact, also within characters.
 
-Null and empty texts have one empty section with no tokens. Rows are counted on their
-own, whatever their ids. Empty tables give no rows. Extra columns are ignored. No
-shuffle; memory is bounded by a batch of texts.
+Null and empty texts have one empty section with no tokens. Very long texts are encoded
+whole. Rows are counted on their own, whatever their ids, null and repeated ones alike. Empty
+tables give no rows. Extra columns are ignored. No shuffle; memory is bounded by a batch of texts.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, doc_tokens long"
-_PIECE = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
-#: Separators that Python counts as white space and the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
-_KEPT = 400_000
 
 
 def default_ranks() -> str:
@@ -48,17 +42,6 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-class _Index(dict):
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = at = len(self)
-        self.new.append(piece)
-        return at
-
-
 class SpanEncoder:
     """Byte lengths of the tokens of texts."""
 
@@ -71,39 +54,10 @@ class SpanEncoder:
         self.width = np.zeros(max(table.values()) + 1, np.int64)
         for token, rank in table.items():
             self.width[rank] = len(token)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index, self.used = _Index(), 0
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, text: str) -> np.ndarray:
         """The token ids of a text."""
-        if len(self.index) > _KEPT:
-            self._reset()
-        pieces = _PIECE.findall(text) if not _ODD.search(text) else [text]
-        code = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        if self.index.new:
-            found = [self.encoding.encode_ordinary(p) for p in self.index.new]
-            self.index.new = []
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((x for f in found for x in f), np.int32, int(count.sum()))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            if len(self.index) > len(self.count):
-                room = np.zeros(max(1 << 14, 2 * len(self.index)) - len(self.count), np.int64)
-                self.count, self.first = np.concatenate([self.count, room]), np.concatenate([self.first, room])
-            at = slice(len(self.index) - len(found), len(self.index))
-            self.count[at] = count
-            self.first[at] = self.used + np.cumsum(count) - count
-            self.used += len(ids)
-        lens = self.count[code]
-        stops = np.cumsum(lens)
-        if not len(stops):
-            return np.zeros(0, np.int32)
-        return self.flat[np.repeat(self.first[code] - (stops - lens), lens) + np.arange(stops[-1])]
+        return np.array(self.encoding.encode_ordinary(text), np.int32)
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end of each token."""

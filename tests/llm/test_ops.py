@@ -362,6 +362,52 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.identify(df.where("lang is null")).collect()} == {"und"}
 
 
+def test_language_letters_ties_and_dirty_labels(spark):
+    r = random.Random(6)
+    kinds = {"aa": "ka lo mi".split(), "bb": "zu xi ött".split()}
+    table = [(i, " ".join("".join(r.choices(kinds[k], k=3)) for _ in range(20)), k) for i in range(120) for k in [r.choice(list(kinds))]]
+    table += [(1000 + i, "odd " + prose(5, i), f"dirty{i}") for i in range(30)] + [table[0], table[0]]
+    odd = ["½ ² ①", "ª", "ⅷ", "\u0345", "٣", "字"]
+    df = spark.createDataFrame([*table, *[(2000 + i, t, None) for i, t in enumerate(odd)]], "doc_id long, text string, lang string")
+    assert language.learn(df, most_langs=2).langs == ["aa", "bb"]
+    got = defaultdict(list)
+    for x in language.identify(df, most_langs=2).collect():
+        got[x.doc_id].append((x.lang_pred, x.score))
+    import unicodedata
+
+    for i, t in enumerate(odd):
+        assert (got[2000 + i][0][0] != "und") == any(unicodedata.category(c)[0] == "L" for c in t), t
+    assert len(got[table[0][0]]) == 3
+    assert len(set(got[table[0][0]])) == 1
+    tie = language.Model(["aa", "bb"], np.zeros((language.DIM, 2), np.float32))
+    assert {(x.lang_pred, x.score) for x in language.predict(df.limit(3), tie).collect()} == {("aa", 0.5)}
+    # What no regression claims is not recognised; columns keep their names.
+    other = spark.createDataFrame([(1, "kalomi lomika mikalo", 1), (2, "9%)(", 2), (3, None, 3), (4, "wvw vwv wwvv vvww wvwv", 4)], "doc_id long, text string, _lang_pred int")
+    found = language.recognised(other, language.learn(df, most_langs=2))
+    assert found.columns == other.columns
+    assert {x.doc_id for x in found.collect()} >= {1}
+    assert {x.doc_id for x in found.collect()} & {2, 3} == set()
+    assert {x.doc_id for x in language.recognised(other, language.learn(df, most_langs=2), langs=["bb"]).collect()} & {1} == set()
+
+
+def test_language_values_against_the_kernel():
+    """The matrix product against kernel ridge regression with the kernel written out."""
+    r = np.random.default_rng(9)
+    langs = ["aa"] * 20 + ["bb"] * 30
+    texts = [" ".join("".join(r.choice(list("abcd" if k == "aa" else "cdef"), 4)) for _ in range(12)).encode() for k in langs]
+    sets = np.zeros((50, language.DIM), np.float32)
+    for row, t in zip(sets, texts, strict=True):
+        language.gram_set(t, row)
+    model = language.fit(np.packbits(sets.astype(np.uint8), axis=1), langs, landmarks=50)
+    common = np.array([[len(set(np.flatnonzero(a)) & set(np.flatnonzero(b))) / np.sqrt(a.sum() * b.sum()) for b in sets] for a in sets])
+    # With all rows as landmarks Nyström is exact: weighted ridge regression in the kernel's own space.
+    weight = np.array([1 / langs.count(k) for k in langs])
+    weight /= weight.mean()
+    target = np.where(np.array(langs) == "aa", 1.0, -1.0)
+    alpha = np.linalg.solve(np.diag(weight) @ common + 1e-2 * 50 / 10 * np.eye(50), weight * target)
+    assert np.allclose(model.scores(texts)[0][:, 0], common @ alpha, atol=2e-3)
+
+
 def test_language_of_long_texts(spark):
     r = random.Random(15)
     kinds = {"aa": "abcdefghijklmé", "bb": "nopqrstuvwxyzö"}
@@ -383,7 +429,13 @@ def test_tokens(docs, empty):
     tk.encode_special_tokens = True
     enc = tokens.span_encoder(tokens.default_ranks(), tokens.default_pattern())
     for _, t in ROWS:
-        assert tk.encode(t or "", add_special_tokens=False).ids == enc.ids(t or "").tolist()
+        found = tk.encode(t or "", add_special_tokens=False)
+        assert found.ids == enc.ids(t or "").tolist()
+        # The tokenizer's own offsets are in characters; of a token within a character they cover it.
+        points = np.concatenate([[0], np.cumsum((np.frombuffer(data(t), np.uint8) & 0xC0) != 0x80)])
+        for (a, b), (x, y) in zip(found.offsets, _byte_spans(enc, t or ""), strict=True):
+            assert a in (points[x], points[x] - 1)
+            assert b == points[y]
     got = defaultdict(list)
     for r in tokens.count_tokens(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect():
         got[r.doc_id].append(r)
@@ -401,6 +453,31 @@ def test_tokens(docs, empty):
     assert [(b.start, b.end) for b in both] == [(0, 4), (4, 5)]
 
 
+@pytest.mark.parametrize("rule", ["first", "last", "most"])
+def test_tokens_of_sections_against_bytes(spark, rule):
+    """Every token's bytes are dealt one by one; lines and fields, null and repeated ids, any characters."""
+    texts = ["a\n\nb  \n\n\n  c", "é\nßß ö\n", "字字\n\n\n字  \t\n 🙂🙂\n", "\n", "\n\n\n\n", None, "", "x" * 400 + "\n" + "y z\n" * 30]
+    table = [(i if i % 3 else None, t, f"f{t or ''}\n") for i, t in enumerate(texts)] + [(1, texts[1], "again")]
+    df = spark.createDataFrame(table, "doc_id long, text string, section string")
+    enc = tokens.span_encoder(tokens.default_ranks(), tokens.default_pattern())
+
+    def dealt(parts):
+        whole = b"".join(parts)
+        owner = [k for k, p in enumerate(parts) for _ in p]
+        counts = [0] * len(parts)
+        for a, z in _byte_spans(enc, whole.decode()):
+            of = Counter(owner[a:z])
+            counts[owner[a] if rule == "first" else owner[z - 1] if rule == "last" else min(of, key=lambda k: (-of[k], k))] += 1
+        return counts
+
+    lines = lambda t: [x.encode() for x in re.findall(r"[^\n]*\n|[^\n]+", t or "")] or [b""]
+    want = Counter((i, k, n) for i, t, _ in table for k, n in enumerate(dealt(lines(t))))
+    assert Counter((r.doc_id, r.section, r.n_tokens) for r in tokens.count_tokens(df, rule=rule).collect()) == want
+    fields = lambda t, f: [data(t) + b"\n", data(f)]
+    want = Counter((i, k, n) for i, t, f in table for k, n in enumerate(dealt(fields(t, f))))
+    assert Counter((r.doc_id, r.section, r.n_tokens) for r in tokens.count_tokens(df, sections=["text", "section"], rule=rule).collect()) == want
+
+
 def _byte_spans(enc, text):
     return list(zip(*[x.tolist() for x in enc.spans(text)], strict=True))
 
@@ -445,6 +522,41 @@ def test_quality(spark, docs, empty):
     assert quality.judge(empty, model).count() == 0
 
 
+def test_quality_labels_and_calibration(spark):
+    """Null, contradicting and repeated labels; probabilities follow the labels' shares."""
+    r = random.Random(31)
+    text = lambda i, y: " ".join(w + ("&&" if r.random() < (0.2 if y else 0.75) else "") for w in prose(70, 4000 + i).split())
+    rows = [(i, text(i, i % 5 != 0), int(i % 5 != 0)) for i in range(900)]
+    df = spark.createDataFrame([*rows, (None, "x " * 60, 1), (5000, None, 0), *rows[:50]], "doc_id long, text string, quality int")
+    labels = df.select("doc_id", "quality").unionByName(spark.createDataFrame([(3, 0), (4, None), (None, 1), (7, 1), (7, 1), (6000, 5)], "doc_id long, quality int"))
+    model = quality.learn(df.drop("quality"), labels, per_class=150)
+    again = quality.learn(df.drop("quality").repartition(7), labels, per_class=150)
+    assert np.array_equal(model.weights, again.weights)
+    got = quality.judge(df.drop("quality"), model).collect()
+    assert len(got) == df.count()
+    p = {x.doc_id: x.probability for x in got}
+    assert abs(np.mean([p[i] for i, *_ in rows]) - 0.8) < 0.06
+    assert sum((p[i] >= 0.5) == bool(y) for i, _, y in rows) >= 860
+    assert {x.kept for x in got if x.doc_id == 5000} == {False}
+    assert len({(x.doc_id, x.probability) for x in got if x.doc_id is not None}) == 901
+
+
+def test_quality_grams_are_of_characters(monkeypatch):
+    want = defaultdict(Counter)
+    texts = ["é ßé é", "字字字字", "ab ab"]
+    for t in texts:
+        for kind, n in ((2, 3), (3, 4), (4, 5)):
+            want[t][kind] = len({t[i : i + n] for i in range(len(t) - n + 1)})
+    for t in texts:
+        got = {kind: len(set(places.tolist())) for kind, places in quality.grams(t.encode())}
+        assert all(got.get(kind, 0) == want[t][kind] for kind in (2, 3, 4))
+        assert got[0] == len(set(t.split()))
+    # Segments end between words, or characters.
+    monkeypatch.setattr(quality, "SEGMENT", 37)
+    t = " ".join(prose(40, 32).split()) + " " + "字" * 40
+    assert sum(len(x) for kind, x in quality.grams(t.encode()) if kind == 0) in (41, 42, 43, 44)
+
+
 # --- 6 ---
 
 
@@ -600,6 +712,62 @@ def test_word_encoder_equals_tokenizer():
 # --- 8 ---
 
 
+def slow_ends(text):
+    """Chunk ends byte by byte, with a gear table of its own."""
+    gear, x = [], 8 * 0x9E3779B97F4A7C15 + 1
+    for _ in range(256):
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        gear.append(x >> 32)
+    ends, at, h = [], 0, 0
+    for i, byte in enumerate(text):
+        h = ((h << 1) + gear[byte]) & 0xFFFFFFFF
+        size = i + 1 - at
+        if size == 256 or size >= 24 and h >> 27 == 0:
+            at = i + 1
+            ends.append(at)
+    return ends + [len(text)] * (at < len(text))
+
+
+def slow_dedup(table):
+    """What stays of each (id, text): later copies of chunks go, in runs of 64 bytes and more."""
+    seen, out = set(), {}
+    for i, t in sorted(set(table), key=lambda r: (-(2**63) if r[0] is None else r[0], _text_hash(r[1]))):
+        b, ends, kept, run = data(t), slow_ends(data(t)), bytearray(), [0, 0]
+        spans = []
+        for a, z in zip([0, *ends], ends, strict=False):
+            if b[a:z] in seen:
+                if spans and spans[-1][1] == a:
+                    spans[-1][1] = z
+                else:
+                    spans.append([a, z])
+            seen.add(b[a:z])
+        at = 0
+        whole = lambda p: next(q for q in range(p, p + 4) if q >= len(b) or b[q] & 0xC0 != 0x80)  # noqa: E731, B023
+        for a, z in [*([whole(x), whole(y)] for x, y in spans if y - x >= 64), [len(b), len(b)]]:
+            kept += b[at:a]
+            at = z
+        out[i, t] = bytes(kept)
+    return out
+
+
+def _text_hash(t):
+    """Spark's xxhash64 of a string, which orders rows of one id."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(data(t), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_chunks_against_bytes(spark):
+    table = [*ROWS, (20, COPY + " x"), (20, COPY), (70, "字" * 500), (71, "a" + "字" * 500)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in table], "doc_id long, text string, _t int").repartition(3)
+    want = slow_dedup(table)
+    got = collected(chunks.dedup(df).select("doc_id", "n_bytes", "n_removed", "text"))
+    assert Counter(got) == Counter((i, len(data(t)), len(data(t)) - len(want[i, t]), want[i, t].decode()) for i, t in table)
+
+
+
+
 def test_chunks(docs, empty):
     got = {r.doc_id: r for r in chunks.dedup(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     table = {i: data(t) for i, t in ROWS if i is not None}
@@ -823,3 +991,51 @@ def test_pipeline_stages(spark, tmp_path):
     words = set(PASSAGE.split())
     assert len(words & set(cut[31].split())) < len(words)
     assert cut[30] == dict(ROWS)[30]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The whole run on a group of variants, copies, repeats, contaminated texts, and rows of no language."""
+    import corpus_pipeline as cp
+
+    r = random.Random(41)
+    other = lambda n, seed: " ".join("".join(random.Random(seed + k).choices("zug xif ött wur".split(), k=2)) for k in range(n))
+    table = [(i, prose(80, 5000 + i), "ka") for i in range(40)] + [(100 + i, other(80, 100 * i), "zu") for i in range(40)]
+    base = prose(300, 42)
+    table += [(200 + i, near(base, r.choice([2, 25]), i), None) for i in range(30)]
+    passage = prose(90, 43)
+    table += [(300 + i, prose(40, 6000 + i) + " " + passage + " " + prose(40, 6100 + i), "ka") for i in range(4)]
+    item = prose(14, 44)
+    table += [(310, prose(50, 45) + " " + item, "ka"), (311, item.upper(), None), (312, None, "ka"), (313, "", "ka"), (314, "12 ½", "zu"), (None, prose(60, 46), "ka"), (None, table[0][1], "ka"), (5, table[5][1], "ka")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _gone int, _lang_pred int"
+    docs = spark.createDataFrame([(i, t, k, "s", len(t or ""), 1, 2) for i, t, k in table], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    model = language.learn(docs)
+    claimed = lambda t: bool(t) and any(c.isalpha() for c in t) and model.scores([t.encode()])[0].max() > 0
+    left = [(i, t) for i, t, _ in table if claimed(t)]
+    assert len(left) >= 115
+    label = slow_similar([t for _, t in left])
+    first: dict = {}
+    for (i, t), x in zip(left, label, strict=True):
+        if i is not None:
+            first[x] = min(first.get(x, (i, _text_hash(t), t)), (i, _text_hash(t), t))
+    left = [(i, t) for i, t in dict.fromkeys(left) if i is None or any(f[0] == i and f[2] == t for f in first.values())]
+    cut = slow_dedup(left)
+    left = [(i, cut[i, t].decode()) for i, t in left if cut[i, t].strip()]
+    grams = lambda t: {tuple(w[k : k + 10]) for w in [t.lower().split()] for k in range(len(w) - 9)}
+    left = [(i, t) for i, t in left if not grams(t) & grams(item)]
+    tk = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    want = Counter((i, len(tk.encode(t, add_special_tokens=False).ids) + 1) for i, t in left)
+    got = Counter()
+    for x in cp.run(spark, str(tmp_path)).collect():
+        got[x.doc_id, x.doc_tokens] += x.length
+    assert got == Counter({k: k[1] * n for k, n in want.items()})
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
