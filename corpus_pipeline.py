@@ -15,21 +15,36 @@ from hunkwise.llm._shared import Scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what is in no language: null texts and texts without a letter."""
+    """Drop what is in no known language.
+
+    A document stays if some language's one-versus-rest regression claims its text. Null texts, and texts
+    without a letter, go. Rows are judged one by one: repeated rows and null ids alike, very long texts by the
+    mean of their parts; of languages that tie either may claim. Without a labelled language (an empty
+    table, too) nothing can be told apart and texts with a letter stay.
+    """
     model = language.learn(docs)
-    if model is None:  # no language is known here, so none can be told apart
+    if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language.predict(docs, model, keep=list(docs.columns))
-    return found.where("_lang_pred <> 'und'").drop("_lang_pred", "_score")
+    return language.recognised(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the least id, of each group of near copies."""
+    """Keep one document, the one with the least id, of each group of near copies.
+
+    Rows with a null id stay, but link others. Texts without words are copies of each other. Rows
+    equal in id and text are one document, rows that share an id but not a text are several.
+    Very long texts are compared whole. An empty table stays empty.
+    """
     return simhash.without_copies(docs, similarity=0.8, shingle=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that an earlier document has; drop texts of which nothing is left."""
+    """Cut passages that an earlier document has; drop texts of which nothing is left.
+
+    Null and blank texts go. Rows equal in id and text (null ids too) are one document: all keep or
+    lose the same. Of copies in one document the first stays. Very long texts are cut whole. An
+    empty table stays empty. ``n_chars`` is counted anew if it is there.
+    """
     left = chunks.deduplicated(docs)
     if "n_chars" in left.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -37,12 +52,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a passage of the benchmark."""
+    """Drop documents with a passage of the benchmark.
+
+    Null texts have none. Rows are judged one by one, whatever their ids; very long texts are scanned
+    whole. With an empty benchmark all stay.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of tokens."""
+    """Pack what is left into sequences of tokens.
+
+    A null text counts as empty, rows with equal or null ids as any other; very long texts are cut.
+    """
     return packing.pack(docs)
 
 
@@ -54,7 +76,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages; tests hold each of them, and the whole run, against brute force.
 ORACLE_SQL = None
 
 
