@@ -7,9 +7,13 @@ executor never costs more than the tasks it was running.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(task: Task) -> Task:
+    """The task, after which the Python worker gives back what it has freed; it lives on for other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 class Scratch:
     """A folder of written tables below the shared one, used to cut lineage."""
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkwise.llm._shared import Scratch, text_bytes
+from hunkwise.llm._shared import Scratch, lean, text_bytes
 
 #: The header fields of ARC versions, as the version block states them.
 ARC_FIELDS = {
@@ -166,7 +166,7 @@ def write_warc(pages: DataFrame, path: str, scratch: Scratch, min_bytes: int = 1
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
     def write(part: DataFrame, records: int, folder: str) -> None:
-        out = part.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+        out = part.mapInArrow(lean(run), "record binary").select(F.col("record").cast("string").alias("value"))
         out.write.option("lineSep", "\r\n\r\n").option("compression", "none").option("maxRecordsPerFile", records).text(f"{path}/{folder}")
 
     large = F.octet_length("payload") >= LARGE_PAGE
@@ -197,7 +197,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     names = [x.split()[0] for x in schema.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(lean(run), schema)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 1000, **options) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm._shared import Scratch, row_key, text_bytes
+from hunkwise.llm._shared import Scratch, lean, row_key, text_bytes
 
 #: Average bytes of a chunk are about ``LEAST + 2**BITS``.
 LEAST, MOST, BITS = 24, 256, 5
@@ -141,7 +141,7 @@ def copies(docs: DataFrame, scratch: Scratch, least: int, most: int, bits: int,
     """``_id, _th, copies``: the chunks of each document that another chunk comes before."""
     keyed = docs.select(*row_key(id_col, text_col), text_bytes(text_col).alias("_t"))
     schema = "_id long, _th long, rid long, stop array<int>, d1 array<long>, d2 array<long>"
-    texts = scratch.put(keyed.mapInArrow(_chunk_task(least, most, bits), schema), "texts")
+    texts = scratch.put(keyed.mapInArrow(lean(_chunk_task(least, most, bits)), schema), "texts")
     # One row id, the least, stands for rows equal in id and text.
     one = texts.select("_id", "_th", F.posexplode(F.arrays_zip("stop", "d1", "d2")).alias("at", "c"), "stop")
     one = one.select("_id", "_th", F.col("c.d1").alias("d1"), F.col("c.d2").alias("d2"), F.when(F.col("at") > 0, F.element_at("stop", F.greatest("at", F.lit(1)))).otherwise(0).alias("start"), F.col("c.stop").alias("stop"))
@@ -164,7 +164,7 @@ def _cut(docs: DataFrame, keep: list[str], least: int, most: int, bits: int, run
     keyed = docs.select(*row_key(id_col, text_col), text_bytes(text_col).alias("_t"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)])
     joined = keyed.join(found.hint("shuffle_hash"), ["_id", "_th"], "left").select("_t", "copies", *[f"_c{i}" for i in range(len(keep))])
     kinds = ", ".join(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return joined.mapInArrow(_remove_task(run_bytes), f"n_bytes long, n_removed long, n_spans long, kept binary, {kinds}")
+    return joined.mapInArrow(lean(_remove_task(run_bytes)), f"n_bytes long, n_removed long, n_spans long, kept binary, {kinds}")
 
 
 def dedup(docs: DataFrame, least: int = LEAST, most: int = MOST, bits: int = BITS, run_bytes: int = RUN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm._shared import text_bytes
+from hunkwise.llm._shared import lean, text_bytes
 
 SCHEMA = "doc_id long, n_words long, words array<int>, items array<string>, spans array<struct<start:int,end:int>>"
 #: A word: bytes that are no ASCII but letters and digits; upper case is lowered.
@@ -238,7 +238,7 @@ def _piece_task(window: int):
 def _parts(docs: DataFrame, benchmark: DataFrame, window: int, part_bytes: int, item_col: str, item_text_col: str) -> list[tuple]:
     """Broadcasts of about ``part_bytes`` of items each, with a tag of their content."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("name"), text_bytes(item_text_col).alias("body"))
-    pieces = rows.mapInArrow(_piece_task(window), "name string, body binary").distinct()
+    pieces = rows.mapInArrow(lean(_piece_task(window)), "name string, body binary").distinct()
     total = pieces.agg(F.sum(F.octet_length("body"))).head()[0] or 0
     parts = max(1, -(-total // part_bytes))
     out = []
@@ -310,7 +310,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: in
             ids = pa.concat_arrays([b.column(0) for b in held])
             yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("_text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("_text")).mapInArrow(lean(run), SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -335,4 +335,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: i
                 yield batch.filter(pa.array(good[lo : lo + batch.num_rows], pa.bool_()))
                 lo += batch.num_rows
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

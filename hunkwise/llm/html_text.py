@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm._shared import Scratch
+from hunkwise.llm._shared import Scratch, lean
 
 # Elements of HTML by what they do.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -272,7 +272,7 @@ def style_tree(pages: DataFrame, scratch: Scratch, support: int = 8, url_col: st
     ``host, node, main, pages, style, content``; ``host, node, feature, style, content``; ``node, pages, style, content``.
     """
     rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = rows.mapInArrow(_style_task, "host string, node long, main boolean, kind int, feature long, page long").distinct()
+    found = rows.mapInArrow(lean(_style_task), "host string, node long, main boolean, kind int, feature long, page long").distinct()
     counts = scratch.put(found.groupBy("host", "node", "main", "kind", "feature").agg(F.count("*").alias("n")), "counts")
     size = counts.where("kind = 2").select("host", F.col("n").alias("size"))
     many = lambda col, of: F.col(col) >= F.greatest(F.lit(support), F.col(of) / 100)
@@ -315,4 +315,4 @@ def extract(pages: DataFrame, support: int = 8, tree: bool = True, page_col: str
                 texts.append(Page(source.as_py() or "").text_by(*known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

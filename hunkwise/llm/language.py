@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hunkwise.llm._shared import lean
+
 #: Places of the hashed n-gram sets; bits.
 BITS = 14
 DIM = 1 << BITS
@@ -149,7 +151,7 @@ def learn(docs: DataFrame, per_lang: int = 1000, landmarks: int = 400, most_lang
     )
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
     share = F.broadcast(counts.select("lang", (F.lit(per_lang << 30) / F.col("count")).alias("share")))  # ``most_langs`` rows
-    rows = usable.join(share, "lang").where((F.col("dice") < F.col("share")) & F.col("text").rlike(_LETTER)).select("lang", "text").mapInArrow(_set_task, "lang string, bits binary").collect()
+    rows = usable.join(share, "lang").where((F.col("dice") < F.col("share")) & F.col("text").rlike(_LETTER)).select("lang", "text").mapInArrow(lean(_set_task), "lang string, bits binary").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])[::-1]))
     if not rows:
         return None
@@ -187,7 +189,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """``doc_id, held_out, lang_pred, score, value`` of every row; ``value`` is the winning regression's."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # DIM times languages numbers
     rows = docs.select(*_rows(docs, text_col), F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(_predict_task(held), "lang_pred string, score double, value double, doc_id long, held_out boolean").select("doc_id", "held_out", "lang_pred", "score", "value")
+    return rows.mapInArrow(lean(_predict_task(held)), "lang_pred string, score double, value double, doc_id long, held_out boolean").select("doc_id", "held_out", "lang_pred", "score", "value")
 
 
 def recognised(docs: DataFrame, model: Model | None, langs: list[str] | None = None, least: float = 0.0, text_col: str = "text") -> DataFrame:
@@ -199,7 +201,7 @@ def recognised(docs: DataFrame, model: Model | None, langs: list[str] | None = N
     place = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*_rows(docs, text_col), *[F.col(c).alias(p) for c, p in zip(docs.columns, place, strict=True)])
     kinds = "".join(f", {p} {f.dataType.simpleString()}" for p, f in zip(place, docs.schema.fields, strict=True))
-    found = rows.mapInArrow(_predict_task(held), "lang_pred string, score double, value double" + kinds).where((F.col("lang_pred") != "und") & (F.col("value") > least))
+    found = rows.mapInArrow(lean(_predict_task(held)), "lang_pred string, score double, value double" + kinds).where((F.col("lang_pred") != "und") & (F.col("value") > least))
     if langs is not None:
         found = found.where(F.col("lang_pred").isin(langs))
     return found.select(*[F.col(p).alias(c) for c, p in zip(docs.columns, place, strict=True)])

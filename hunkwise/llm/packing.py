@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hunkwise.llm._shared import lean
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -305,4 +307,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, end_id
         packer.finish(last=True)
         yield _rows(packer.drain())
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(run), SCHEMA)

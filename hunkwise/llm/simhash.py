@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm._shared import NULL_ID, Scratch, row_key, text_bytes
+from hunkwise.llm._shared import NULL_ID, Scratch, lean, row_key, text_bytes
 from hunkwise.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, lanes: int =
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", _th long, node long" * bool(exact)
     key = row_key(id_col, text_col)[1:] if exact else []
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_t"), *key).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_t"), *key).mapInArrow(lean(run), schema)
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -352,7 +352,7 @@ def links(distinct: DataFrame, distance: int, scratch: Scratch, lanes: list[str]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PARTITION_ROWS))
     dealt = dealt.withColumn("rank", _gray_sql("l0")).repartitionByRange(parts, "key", "rank").drop("rank")
     schema = "u long, v long, key long, block long, mask long, value long, fps binary, reps binary"
-    index = scratch.put(dealt.mapInArrow(_index_task(distance, limit), schema), "index")
+    index = scratch.put(dealt.mapInArrow(lean(_index_task(distance, limit)), schema), "index")
     scratch.release()
     blocks = index.where("block is not null")
     heads = blocks.select("key", "block", "mask", "value")
@@ -362,7 +362,7 @@ def links(distinct: DataFrame, distance: int, scratch: Scratch, lanes: list[str]
     body = blocks.select("key", "block", "fps", "reps")
     a = body.select("key", "block", F.col("fps").alias("fa"), F.col("reps").alias("ra"))
     b = body.select("key", F.col("block").alias("block2"), F.col("fps").alias("fb"), F.col("reps").alias("rb"))
-    across = near.join(a, ["key", "block"]).join(b, ["key", "block2"]).select("fa", "ra", "fb", "rb").mapInArrow(_block_task(distance, limit), "u long, v long")
+    across = near.join(a, ["key", "block"]).join(b, ["key", "block2"]).select("fa", "ra", "fb", "rb").mapInArrow(lean(_block_task(distance, limit)), "u long, v long")
     return index.where("u is not null").select("u", "v").unionByName(across)
 
 
@@ -520,7 +520,7 @@ def _rest(found: DataFrame, true: DataFrame, sets: DataFrame, similarity: float,
     met = met.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(sides[0])).otherwise(F.array(*sides))).alias("s")).select("a", "b", "s.block", "s.side")
     dealt = met.join(rows.select("node", "t", "block"), "block").join(sets, "node").select("a", "b", "side", "node", "t", "grams")
     dealt = dealt.repartition("a", "b").sortWithinPartitions("a", "b")
-    more = scratch.put(dealt.mapInArrow(_pair_task(similarity), "u long, v long"), "more")
+    more = scratch.put(dealt.mapInArrow(lean(_pair_task(similarity)), "u long, v long"), "more")
     return true.unionByName(more)
 
 
@@ -541,10 +541,10 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int, id_col: str, text
     nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     keys = known.join(nodes, "node").select("node", F.col("any.id").alias("_id"), F.col("any.th").alias("_th"))
     texts = docs.select(*row_key(id_col, text_col), text_bytes(text_col).alias("_t")).join(keys.hint("shuffle_hash"), ["_id", "_th"]).select("node", "_t")
-    sets = scratch.put(texts.mapInArrow(_set_task(shingle), "node long, grams binary").groupBy("node").agg(F.min("grams").alias("grams")), "sets")
+    sets = scratch.put(texts.mapInArrow(lean(_set_task(shingle)), "node long, grams binary").groupBy("node").agg(F.min("grams").alias("grams")), "sets")
     scratch.release()
     pairs = found.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
-    true = scratch.put(pairs.select("u", "v", "gu", "gv").mapInArrow(_verify_task(similarity), "u long, v long"), "true")
+    true = scratch.put(pairs.select("u", "v", "gu", "gv").mapInArrow(lean(_verify_task(similarity)), "u long, v long"), "true")
     comp = components(_rest(found, true, sets, similarity, scratch), scratch)
     of = scratch.put(known.join(comp, "node", "left").select("node", "first", "many", F.coalesce("component", "node").alias("c")), "component")
     least = scratch.put(of.groupBy("c").agg(F.min("first").alias("least")), "least")

@@ -39,12 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm._shared import Scratch, row_key, text_bytes
+from hunkwise.llm._shared import Scratch, lean, row_key, text_bytes
 
 #: Bytes of the initial q-grams.
 GRAM = 40
 #: Different contexts of a bucket that are refined in one task; in how many turns a pass takes its buckets.
-TASK_CONTEXTS, TURNS = 2048, 4
+TASK_CONTEXTS, TURNS = 512, 4
 #: Strings of a cut of a context in a larger bucket.
 CUT = 20
 #: Bytes of contexts refined together.
@@ -129,12 +129,12 @@ def suffix_order(data: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
     last member in the order, so refining one bucket leaves all other pointers as they are.
     """
     head = _heads(data, room)
-    order = np.argsort(head, kind="stable")
-    last = np.append(head[order[1:]] != head[order[:-1]], True) if len(order) else np.zeros(0, bool)
-    ends = np.flatnonzero(last)
-    pointer = np.zeros(len(data), np.int64)
-    pointer[order] = ends[np.searchsorted(ends, np.arange(len(data)))]
+    order = np.argsort(head)
+    head = head[order]
+    ends = np.flatnonzero(np.append(head[1:] != head[:-1], True)) if len(head) else np.zeros(0, np.int64)
     sizes = np.diff(ends, prepend=-1)
+    pointer = np.zeros(len(data), np.int64)
+    pointer[order] = np.repeat(ends, sizes)
     open_ = np.repeat(sizes > 1, sizes)
     deep = 8
     while deep < length and open_.any():
@@ -146,10 +146,10 @@ def suffix_order(data: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
             at = order[turn]
             # What an earlier turn refined is sorted deeper already, and so is what points there.
             later = np.where(room[at] > deep, pointer[np.minimum(at + deep, len(data) - 1)], -1)
-            rank = np.lexsort((later, pointer[at]))
-            at, later = at[rank], later[rank]
-            differs = (pointer[at][1:] != pointer[at][:-1]) | (later[1:] != later[:-1])
-            ends = np.flatnonzero(np.append(differs, True))
+            key = pointer[at] * (len(data) + 1) + later + 1
+            rank = np.argsort(key)
+            at, key = at[rank], key[rank]
+            ends = np.flatnonzero(np.append(key[1:] != key[:-1], True))
             order[turn] = at
             sizes = np.diff(ends, prepend=-1)
             pointer[at] = np.repeat(turn[ends], sizes)
@@ -329,7 +329,7 @@ def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch, id_col: str
     """``_id, _th, ranges``: where strings of ``length`` bytes start that occur elsewhere, too."""
     keyed = docs.select(*row_key(id_col, text_col), text_bytes(text_col).alias("_t"))
     schema = "_id long, _th long, rid long, bucket long, context long, refs array<struct<rid:long,first:int,last:int>>"
-    texts = scratch.put(keyed.mapInArrow(_pointer_task(length), schema), "pointers")
+    texts = scratch.put(keyed.mapInArrow(lean(_pointer_task(length)), schema), "pointers")
     docs_of = texts.where("rid is not null").select("_id", "_th", "rid")
     one = texts.where("bucket is not null").select("bucket", "context", "refs")
     many = F.size("refs").cast("long")
@@ -349,11 +349,11 @@ def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch, id_col: str
     listed = scratch.put(listed, "listed")
     # Repeats of a row give its contexts more than once, which the next steps drop.
     from_text = keyed.join(listed.hint("shuffle_hash"), ["_id", "_th"]).select("_t", "refs")
-    got = scratch.put(from_text.mapInArrow(_context_task(length), "bucket long, rid long, first int, last int, edge boolean, bytes binary, context long, strings array<long>"), "bytes")
+    got = scratch.put(from_text.mapInArrow(lean(_context_task(length)), "bucket long, rid long, first int, last int, edge boolean, bytes binary, context long, strings array<long>"), "bytes")
     scratch.release()
     small = got.where("bytes is not null").select("bucket", "rid", "first", "edge", "bytes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    refined = small.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine_task(length), "rid long, first int, last int")
+    refined = small.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_refine_task(length)), "rid long, first int, last int")
     cuts = scratch.put(got.where("bytes is null").select("bucket", "context", "rid", "first", "last", "edge", "strings").dropDuplicates(["bucket", "rid", "first"]), "cuts")
     kept = F.struct("rid", "first", "last", "edge", "strings")
     same = scratch.put(cuts.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min(kept).alias("rep")), "same")
@@ -378,4 +378,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), text_bytes(text_col).alias("_t"))
     joined = keyed.join(ranges.hint("shuffle_hash"), ["_id", "_th"], "left").select("doc_id", "_t", "ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return joined.mapInArrow(_cut_task(length), schema)
+    return joined.mapInArrow(lean(_cut_task(length)), schema)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hunkwise.llm._shared import lean
+
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, doc_tokens long"
 
 
@@ -132,7 +134,7 @@ def count_tokens(docs: DataFrame, sections: list[str] | None = None, rule: str =
                     out = [[], [], [], [], [], []]
             yield _rows(out)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)
 
 
 def _rows(out: list[list]) -> pa.RecordBatch:

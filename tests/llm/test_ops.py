@@ -291,7 +291,7 @@ def slow_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("contexts", [1, 2048])
+@pytest.mark.parametrize("contexts", [1, 512])
 def test_suffix(docs, empty, monkeypatch, contexts):
     monkeypatch.setattr(suffix, "TASK_CONTEXTS", contexts)
     got = collected(suffix.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
@@ -335,7 +335,7 @@ def test_suffix_of_many_contexts(spark, monkeypatch):
     texts = [prose(r.randint(1, 20)) + r.choice([" ", "\n"]) + passage + r.choice([" ", "; "]) + prose(r.randint(1, 20)) for _ in range(120)] + [passage[:-3]] * 2
     want = Counter((i, *w) for i, w in enumerate(slow_repeats([data(t) for t in texts], 200)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    for contexts in (10, 2048):
+    for contexts in (10, 512):
         monkeypatch.setattr(suffix, "TASK_CONTEXTS", contexts)
         assert Counter(collected(suffix.remove_repeats(df).drop("spans"))) == want
 
