@@ -162,7 +162,7 @@ class Diff:
 
     def _report(self, open_: _Counter, at: int) -> None:
         if not open_.reported:
-            self.problems.append(f"hunk header on line {open_.header + 1} has counts inconsistent with its body near line {at + 1}")
+            self.problems.append(f"hunk-counts (line {open_.header + 1}): the counts don't fit the rows, as line {at + 1} shows")
             open_.reported = True
 
     def _in_hunk(self, i: int, open_: _Counter) -> str | None:
@@ -241,11 +241,11 @@ class Diff:
             if row == SIGNATURE:
                 in_patch = False
             elif row.startswith(("diff --cc ", "diff --combined ")):
-                return f"combined diff on line {i + 1} is unsupported; use a normal first-parent or two-tree diff"
+                return f"combined (line {i + 1}): diffs against several parents aren't read, take one against one of them"
             elif row.startswith("diff --git ") or self.pair_at(i):
                 in_patch = True
             if in_patch and row.startswith("@@@"):
-                return f"combined diff hunk on line {i + 1} is unsupported; use a normal first-parent or two-tree diff"
+                return f"combined (line {i + 1}): hunks against several parents aren't read, take a diff against one of them"
         return None
 
     @cached_property

@@ -8,9 +8,11 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, groupby
 
 from hunkwise.functions import lexers as lx
 from hunkwise.functions.diff import SOURCE, Diff, Hunk, check
@@ -28,11 +30,11 @@ _PLACEHOLDER = re.compile(r"…|\.{3,}")
 
 
 class PlanError(ValueError):
-    """A refused plan; ``problems`` has each reason."""
+    """A refused plan; ``problems`` has each reason, as ``rule (place): words``."""
 
     def __init__(self, problems: list[str]):
         self.problems = problems
-        super().__init__(problems[0] if len(problems) == 1 else f"edit plan has {len(problems)} errors:" + "".join(f"\n- {p}" for p in problems))
+        super().__init__(problems[0] if len(problems) == 1 else "\n".join([f"{len(problems)} reasons against the plan:", *(f"- {p}" for p in problems)]))
 
 
 # --- elision --------------------------------------------------------------
@@ -70,20 +72,20 @@ def line_problem(name: str, text: str, limit: int) -> str | None:
     try:
         size = len(text.encode())
     except UnicodeEncodeError:
-        return f"{name} is not valid UTF-8"
+        return f"{name}: not encodable as UTF-8"
     if size > limit:
-        return f"{name} is {size} bytes, over the {limit}-byte limit"
+        return f"{name}: {size} bytes, {limit} are allowed"
     for c in text:
         if c in "\n\r\0\x1b\u2028\u2029":
-            return f"{name} must be a single printable line"
+            return f"{name}: more than one line, or not printable"
         if unicodedata.category(c) == "Cc" and c != "\t":
-            return f"{name} contains a control character"
+            return f"{name}: holds a control character"
     return None
 
 
 def summary_problem(text: str) -> str | None:
     if not text.strip():
-        return "summary must not be empty"
+        return "summary: missing"
     return line_problem("summary", text, SUMMARY_BYTES)
 
 
@@ -310,68 +312,69 @@ def python_anchor_problems(suites: Suites, state: State) -> Iterator[str]:
                 if suites.has_definition(i, indent, None):
                     attached = suites.has_definition(i, indent, state)
                     if hidden_ones and attached:
-                        yield f"remove/fold: hides Python decorator on line {i + 1} while its definition remains visible"
+                        yield f"python-decorator (line {i + 1}): it goes, the definition that it decorates stays"
                     if not hidden_ones and not attached:
-                        yield f"remove/fold: retained Python decorator on line {i + 1} has no attached definition"
+                        yield f"python-decorator (line {i + 1}): it stays, the definition that it decorates goes"
             elif lx.py_owns_suite(code):
                 end = suites.header_end(i, None)
                 if end is None or not suites.has_body(end, indent, None):
                     continue
                 if hidden_ones:
                     if suites.has_body(end, indent, state):
-                        yield f"remove/fold: hides Python suite owner on line {i + 1} while its body remains visible"
+                        yield f"python-suite (line {i + 1}): the header goes, rows of its suite stay"
                 else:
                     kept = suites.header_end(i, state)
                     if kept is None or not suites.has_body(kept, indent, state):
-                        yield f"remove/fold: retained Python suite owner on line {i + 1} has no indented body; keep a semantic body line or an interior fold"
+                        yield f"python-suite (line {i + 1}): the header stays without its suite, of which a row or a fold is needed"
 
 
 def _shown_change(diff: Diff, state: State, hunk: Hunk) -> bool:
     return any(diff.kind[i] == "change" and state.shown(i) for i in hunk.rows)
 
 
+class SideScan:
+    """One side of a Python hunk, read once: the string open before each row, how often strings opened or closed so far."""
+
+    def __init__(self, diff: Diff, hunk: Hunk, side: str):
+        self.rows = [i for i in diff.side_rows(hunk, side) if len(diff.text[i]) > 1]
+        self.body = [diff.text[i][1:] for i in self.rows]
+        self.open, self.turns = [""], [0]
+        for body in self.body:
+            triple, turns, _ = lx.py_scan(body, self.open[-1])
+            self.open.append(triple)
+            self.turns.append(self.turns[-1] + turns)
+
+    def whole(self, first: int, end: int) -> bool:
+        """Whether the rows from ``first`` up to ``end`` can go without cutting a string or bracket.
+
+        They can if they lie within one string. Otherwise they are read as code: they must not begin with
+        bare quotes that close a string, nor leave one open, and no bracket may close that didn't open here.
+        """
+        a, b = bisect_left(self.rows, first), bisect_left(self.rows, end)
+        if a == b or self.open[a] and self.turns[a] == self.turns[b]:
+            return True
+        if self.open[a] and self.body[a].strip() in lx.TRIPLES:
+            return False
+        read = list(accumulate(self.body[a:b], _read_on, initial=("", lx.ZERO)))
+        return read[-1] == ("", lx.ZERO) and all(min(net) >= 0 for _, net in read)
+
+
+def _read_on(at: tuple[str, tuple], body: str) -> tuple[str, tuple]:
+    triple, _, net = lx.py_scan(body, at[0])
+    return triple, lx.add(at[1], net)
+
+
 def python_region_problems(diff: Diff, state: State) -> Iterator[str]:
-    """Each hidden region must be balanced on either side."""
+    """What each hidden region takes from either side must be whole."""
     for hunk in diff.hunks:
         if hunk.language != "python" or not _shown_change(diff, state, hunk):
             continue
-        gone = [False] * (hunk.end - hunk.start)
-        for k, i in enumerate(hunk.rows):
-            gone[k] = state.hidden[i] and diff.is_source(i)
-        starts = [k for k, g in enumerate(gone) if g and not (k and gone[k - 1])]
-        for k in starts:
-            stop = next((x for x in range(k, len(gone)) if not gone[x]), len(gone))
-            for side, name in (("-", "old"), ("+", "new")):
-                rows = [i for i in diff.side_rows(hunk, side) if len(diff.text[i]) > 1]
-                before = [diff.text[i][1:] for i in rows if i < hunk.start + k]
-                inside = [diff.text[i][1:] for i in rows if hunk.start + k <= i < hunk.start + stop]
-                if not _balanced(before, inside):
-                    yield f"remove/fold: hidden Python region {hunk.start + k + 1}-{hunk.start + stop} crosses {name}-side expression or string boundaries; keep the boundaries and compress only their interior"
-
-
-def _balanced(before: list[str], inside: list[str]) -> bool:
-    if not inside:
-        return True
-    entered = ""
-    for body in before:
-        entered = lx.py_scan(body, entered)[0]
-    alone, actual, turns = "", entered, 0
-    for body in inside:
-        alone = lx.py_scan(body, alone)[0]
-        actual, n, _ = lx.py_scan(body, actual)
-        turns += n
-    if entered:
-        if turns and (alone or inside[0].strip() in ("'''", '"""')):
-            return False
-    elif alone:
-        return False
-    triple, net = ("" if turns else entered), lx.ZERO
-    for body in inside:
-        triple, _, more = lx.py_scan(body, triple)
-        net = lx.add(net, more)
-        if min(net) < 0:
-            return False
-    return net == lx.ZERO
+        sides = [(name, SideScan(diff, hunk, side)) for side, name in (("-", "old"), ("+", "new"))]
+        for gone, region in groupby(hunk.rows, lambda i: state.hidden[i] and diff.is_source(i)):
+            rows = list(region)
+            for name, side in sides if gone else ():
+                if not side.whole(rows[0], rows[-1] + 1):
+                    yield f"python-region (lines {rows[0] + 1}-{rows[-1] + 1}): on the {name} side a string or bracket is cut; hide only what is inside of it"
 
 
 def reference_problems(suites: Suites, state: State) -> Iterator[str]:
@@ -398,9 +401,7 @@ def reference_problems(suites: Suites, state: State) -> Iterator[str]:
             if j not in bare:
                 bare[j] = lx.py_bare(row[1:])
             if lx.mentions(bare[j], name):
-                fold = state.fold_of.get(i)
-                what, how = ("remove", "compress") if fold is None else (f"fold[{fold}]", "fold")
-                yield f'{what}: hides definition "{name}" on line {i + 1} while retained line {j + 1} still references it; keep the definition and {how} only its interior'
+                yield f"python-reference (line {i + 1}): {name} goes, line {j + 1} stays and uses it"
                 break
 
 
@@ -427,13 +428,13 @@ def python_side_problems(diff: Diff, state: State, edits: dict[int, list[Edit]])
                 if after is None or not state.hidden[i] and not lx.py_continues(with_edits(body, edits.get(i + 1, []))):
                     continue
                 if state.hidden[i] != state.hidden[after]:
-                    broken.append(f"remove/fold: Python backslash continuation on lines {i + 1}-{after + 1} must be retained or hidden together")
+                    broken.append(f"python-backslash (lines {i + 1}-{after + 1}): one continued line, of which a part goes")
             ends["triple"].append(raw[0] == left[0])
             ends["net"].append(raw[1] == left[1])
         if not all(ends["triple"]):
-            yield f"remove/fold: hunk on line {hunk.header + 1} must preserve balanced Python triple-quote boundaries; fold or remove the complete string, or keep both boundaries"
+            yield f"python-quotes (line {hunk.header + 1}): a long string of the hunk is left open or closed by what goes"
         if not all(ends["net"]):
-            yield f"remove/fold: hunk on line {hunk.header + 1} must preserve Python (), [], and {{}} delimiter balance; keep both boundaries or fold/remove the complete balanced expression"
+            yield f"python-brackets (line {hunk.header + 1}): brackets of the hunk no longer come out as they did"
         yield from broken
 
 
@@ -462,7 +463,7 @@ def _detached(tokens: list[tuple[str, int]], owner_of, body_shows, state: State)
 def structure_problems(diff: Diff, state: State, edits: dict[int, list[Edit]], language: str) -> Iterator[str]:
     """Delimiters and block owners of Go and TypeScript hunks."""
     go = language == "go"
-    title, scan, pairs = ("Go", lx.go_tokens, lx.GO_PAIRS) if go else ("TypeScript", lx.ts_tokens, lx.TS_PAIRS)
+    scan, pairs = (lx.go_tokens, lx.GO_PAIRS) if go else (lx.ts_tokens, lx.TS_PAIRS)
     for hunk in diff.hunks:
         if hunk.language != language:
             continue
@@ -473,7 +474,7 @@ def structure_problems(diff: Diff, state: State, edits: dict[int, list[Edit]], l
             tokens = scan(raw)
             left = scan(_side(diff, hunk.number, language, side, state, edits))
             if lx.Net.of(tokens, pairs) != lx.Net.of(left, pairs):
-                yield f"remove/fold/replace: {title} hunk {hunk.number} {name}-side no longer preserves delimiter structure"
+                yield f"{language}-structure (line {hunk.header + 1}): delimiters of the {name} side no longer come out as they did"
             by_row: dict[int, list[str]] = defaultdict(list)
             for t, row in tokens:
                 by_row[row].append(t)
@@ -487,7 +488,7 @@ def structure_problems(diff: Diff, state: State, edits: dict[int, list[Edit]], l
                 owner_of = lambda i: lx.ts_owner(texts[i], texts.get(i - 1))  # noqa: E731, B023
                 body = lambda i: bool(texts.get(i, "").strip()) or any(t not in "{};," for t in by_row.get(i, ()))  # noqa: E731, B023
             for owner, i in _detached(tokens, owner_of, body, state):
-                yield f"remove/fold: hides {title} {owner} owner on line {i + 1} while its body remains visible"
+                yield f"{language}-owner (line {i + 1}): the {owner} goes, rows of its block stay"
 
 
 def _ts_fold_problems(diff: Diff, hunk: Hunk, side: str, state: State) -> Iterator[str]:
@@ -498,7 +499,7 @@ def _ts_fold_problems(diff: Diff, hunk: Hunk, side: str, state: State) -> Iterat
         if net:
             close = dict(p for p in lx.TS_PAIRS)
             what = ",".join(f"{mark}{n_:+d}{close[mark]}" for mark, n_ in net.counts if n_)
-            yield f"fold[{n}]: TypeScript fold on lines {f.start}-{f.end} hides an unbalanced {what} region; fold only complete balanced groups"
+            yield f"typescript-fold (lines {f.start}-{f.end}): what it hides is open by {what}"
 
 
 def _ts_decorator_problems(raw: list[tuple[int, str]], state: State) -> Iterator[str]:
@@ -506,7 +507,7 @@ def _ts_decorator_problems(raw: list[tuple[int, str]], state: State) -> Iterator
     codes = [(i, c) for i, c in codes if c]
     for (i, code), (j, _) in zip(codes, codes[1:], strict=False):
         if state.hidden[i] and code.startswith("@") and state.shown(j):
-            yield f"remove/fold: hides TypeScript decorator on line {i + 1} while its declaration on line {j + 1} remains visible"
+            yield f"typescript-decorator (line {i + 1}): it goes, its declaration on line {j + 1} stays"
 
 
 # --- moves ----------------------------------------------------------------
@@ -532,12 +533,11 @@ def _asymmetry(m: Move, rows: list[tuple[int, int, str, str]]) -> str:
     old, new = rows[0][2:]
     verb = lambda r: "is" if r[0] == r[1] else "are"
     if old == new == "folded":
-        detail = f"removed {format_range(*a)} and added {format_range(*b)} are folded with different boundaries"
+        detail = f"the folds of removed {format_range(*a)} and added {format_range(*b)} have other ends"
     else:
         detail = f"removed {format_range(*a)} {verb(a)} {old} while added {format_range(*b)} {verb(b)} {new}"
     return (
-        f"move symmetry: removed lines {m.removed_start}-{m.removed_end} match added lines {m.added_start}-{m.added_end} after indentation normalization; "
-        f"{detail}. Keep, remove, or fold corresponding move rows identically, including fold boundaries"
+        f"move-symmetry (lines {m.removed_start}-{m.removed_end}): moved to {format_range(m.added_start, m.added_end)}, where rows must be treated as here; {detail}"
     )
 
 
@@ -549,8 +549,7 @@ def move_edit_problems(diff: Diff, moves: list[Move], state: State, mandatory: l
             old, new = (MoveRow.of(with_edits(diff.text[r - 1][1:], edits.get(r, []))).text for r in (a, b))
             if old != new:
                 yield (
-                    f"move symmetry: removed lines {m.removed_start}-{m.removed_end} match added lines {m.added_start}-{m.added_end} after indentation normalization; "
-                    f"corresponding kept lines {a} and {b} have different model-authored local elisions. Apply equivalent replacements to both sides or keep both lines verbatim"
+                    f"move-elision (line {a}): it moved to line {b}, and the two no longer read alike; elide both in the same way or none"
                 )
 
 
@@ -580,30 +579,30 @@ def frame_problems(diff: Diff, state: State) -> Iterator[str]:
     for i, kind in enumerate(diff.kind):
         shown = state.shown(i)
         if kind == "no_newline" and shown and (diff.owner[i] is None or not state.shown(diff.owner[i])):
-            yield f"remove: no-newline marker on line {i + 1} requires its source line"
+            yield f"no-newline (line {i + 1}): the marker stays, the row that it is about goes"
         elif kind == "header":
             body = range(i + 1, diff.next_frame(i + 1, _FILE_BODY))
             if not meaningful(body) and state.any_shown(body):
-                yield f"remove: file beginning on line {i + 1} retains only metadata; remove the complete file section"
+                yield f"file-metadata (line {i + 1}): of the file only metadata stays, so all of it must go"
             if shown != meaningful(body):
-                yield f"remove: diff header on line {i + 1} must be retained exactly when its file body is retained"
+                yield f"file-header (line {i + 1}): the header stays if the file's rows do, and only then"
         elif kind == "old_file":
             if shown != state.shown(i + 1):
-                yield f"remove: ---/+++ headers on lines {i + 1}-{i + 2} must be removed or retained together"
+                yield f"pair-split (lines {i + 1}-{i + 2}): the two path rows stay or go as one"
             if shown != meaningful(range(i + 2, diff.next_frame(i + 2, _PAIR_BODY))):
-                yield f"remove: ---/+++ headers on lines {i + 1}-{i + 2} must be retained exactly when their file body is retained"
+                yield f"pair-header (lines {i + 1}-{i + 2}): the path rows stay if the file's rows do, and only then"
         elif kind in ("rename_from", "copy_from"):
             word = kind.split("_")[0]
             if i + 1 >= len(diff) or diff.kind[i + 1] != f"{word}_to":
-                yield f"{word} from metadata on line {i + 1} has no matching {word} to line"
+                yield f"{word}-pair (line {i + 1}): the row that says where to is missing"
             elif shown != state.shown(i + 1):
-                yield f"remove: {word} metadata on lines {i + 1}-{i + 2} must be removed or retained together"
+                yield f"{word}-pair (lines {i + 1}-{i + 2}): the two rows stay or go as one"
         elif kind == "hunk_header":
             hunk = diff.hunk_of(i)
             if not shown and any(state.shown(j) and diff.kind[j] in SOURCE for j in hunk.rows):
-                yield f"remove: retained context/change lines require hunk header on line {i + 1}"
+                yield f"hunk-rows (line {i + 1}): the header goes, rows of its hunk stay"
             if shown != _shown_change(diff, state, hunk):
-                yield f"remove: hunk header on line {i + 1} must be retained exactly when its hunk has a retained change"
+                yield f"hunk-header (line {i + 1}): the header stays if a change of its hunk does, and only then"
 
 
 # --- the compiler ---------------------------------------------------------
@@ -614,40 +613,40 @@ def _removals(plan: dict, n: int, state: State) -> Iterator[str]:
     for k, r in enumerate(plan["remove"]):
         a, b = r["start_line"], r["end_line"]
         if a < 1 or b < 1 or a > b:
-            yield f"remove[{k}]: invalid inclusive range {a}-{b}"
+            yield f"remove-range (remove {k}): {a}-{b} is no range of rows"
         elif b > n:
-            yield f"remove[{k}]: line {b} is past end of diff ({n} lines)"
+            yield f"remove-range (remove {k}): row {b} of {n}"
         else:
             twice = [x for x in range(a, b + 1) if x in seen]
             seen.update(range(a, b + 1))
             for x in range(a, b + 1):
                 state.hidden[x - 1] = True
             if twice:
-                yield f"remove[{k}]: overlaps an earlier range at line {twice[0]}"
+                yield f"remove-overlap (remove {k}): row {twice[0]} is in an earlier range"
 
 
 def make_fold(diff: Diff, suites: Suites, a: int, b: int, k: int) -> Fold | str:
     """The fold of a range, or why there is none."""
     if a < 1 or b < 1 or a >= b:
-        return f"fold[{k}]: want at least two lines in an inclusive range, got {a}-{b}"
+        return f"fold-range (fold {k}): {a}-{b} is no range of two rows and more"
     if b > len(diff):
-        return f"fold[{k}]: line {b} is past end of diff ({len(diff)} lines)"
+        return f"fold-range (fold {k}): row {b} of {len(diff)}"
     indents = []
     marker = ""
     for x in range(a, b + 1):
         row = diff.text[x - 1]
         if not diff.is_source(x - 1):
-            return f"fold[{k}]: line {x} is not source inside one diff hunk"
+            return f"fold-source (fold {k}): row {x} isn't a source row of a hunk"
         marker = marker or row[0]
         if row[0] != marker:
-            return f"fold[{k}]: mixed diff markers '{marker}' and '{row[0]}' in range {a}-{b}"
+            return f"fold-marker (fold {k}): rows of '{marker}' and of '{row[0]}'"
         code = row[1:].strip()
         if marker != "-" and suites.is_anchor(x - 1, code):
-            return f"fold[{k}]: line {x} is a Python decorator or suite owner; keep the anchor and fold only its indented interior"
+            return f"fold-anchor (fold {k}): row {x} begins a Python suite or decorates; only what it owns may fold"
         if code:
             indents.append(lx.indent_of(row[1:]))
     if not indents:
-        return f"fold[{k}]: range {a}-{b} contains only blank source lines"
+        return f"fold-blank (fold {k}): all its rows are blank"
     low, high = min(indents), max(indents)
     same = next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
     return Fold(a, b, marker, low[:same], diff.eol[b - 1])
@@ -663,11 +662,11 @@ def _folds(plan: dict, diff: Diff, suites: Suites, state: State, mandatory: list
         imports = sum(mandatory[a - 1 : b])
         if imports:
             if imports != b - a + 1:
-                yield f"fold[{k}]: crosses automatically removed import rows and behavioral rows in range {a}-{b}; fold only the behavioral rows"
+                yield f"fold-imports (fold {k}): some of its rows go anyway, as imports; leave them out"
             continue  # a fold of imports alone is needless
         clash = next((i for i in range(a - 1, b) if state.hidden[i]), None)
         if clash is not None:
-            yield f"fold[{k}]: overlaps {'fold' if clash in state.fold_of else 'remove'} at line {clash + 1}"
+            yield f"fold-overlap (fold {k}): row {clash + 1} is {'folded' if clash in state.fold_of else 'removed'} already"
         else:
             state.fold(fold)
 
@@ -677,29 +676,29 @@ def _edit_problem(diff: Diff, suites: Suites, row: int, old: str, new: str) -> s
     i = row - 1
     body = diff.text[i][1:]
     if not old:
-        return "old must not be empty"
+        return "old: missing"
     wrong = line_problem("old", old, REPLACEMENT_BYTES) or line_problem("new", new, REPLACEMENT_BYTES)
     if wrong:
         return wrong
     if new == old:
-        return "new must elide some part of old"
+        return "new: elides nothing"
     if not is_elision(old, new):
-        return "new must match all of old, with every omitted span represented by ... or …"
+        return "new: doesn't stand for old, with ... or … for what is left out"
     if not diff.is_source(i):
-        return f"line {row} is not a source line inside a diff hunk"
+        return f"row {row}: not a source row of a hunk"
     if suites.is_anchor(i, lx.py_code(body)):
-        return f"line {row} is a Python decorator or suite header; keep structural anchors intact"
+        return f"row {row}: begins a Python suite or decorates, which stays as it is"
     if diff.language[i] == "python" and any(old.count(t) != new.count(t) for t in lx.BOUNDARY_TOKENS):
-        return "must preserve Python string and expression boundary tokens"
+        return "new: has other Python brackets or quotes than old"
     at = only_place(body, old)
     if at is None:
-        return f"old must occur exactly once after the diff marker on line {row}"
+        return f"old: not just once in row {row}"
     after = body[:at] + new + body[at + len(old) :]
     marks = lambda scan, text, kept: [t for t, _ in scan([(-1, text)]) if t in kept]
     if diff.language[i] == "go" and marks(lx.go_tokens, body, "{}") != marks(lx.go_tokens, after, "{}"):
-        return "must preserve Go delimiters and block structure"
+        return "new: has other Go braces than old"
     if diff.language[i] == "typescript" and (marks(lx.ts_tokens, body, "{}<>") != marks(lx.ts_tokens, after, "{}<>") or lx.ts_owner(body) and not lx.ts_owner(after)):
-        return "must preserve TypeScript delimiters and structural tokens"
+        return "new: has other TypeScript braces, angles or owner than old"
     return Edit(at, at + len(old), new, -1)
 
 
@@ -707,15 +706,15 @@ def _edits(plan: dict, diff: Diff, suites: Suites, state: State, mandatory: list
     for k, r in enumerate(plan["replace"]):
         row = r["line"]
         if row < 1 or row > len(diff):
-            yield f"replace[{k}]: line {row} is outside the diff (1-{len(diff)})"
+            yield f"replace (replace {k}): row {row} of {len(diff)}"
         elif mandatory[row - 1]:
             continue  # imports are hidden anyway
         elif state.hidden[row - 1]:
-            yield f"replace[{k}]: line {row} is also {'folded' if row - 1 in state.fold_of else 'removed'}"
+            yield f"replace (replace {k}): row {row} is {'folded' if row - 1 in state.fold_of else 'removed'}, too"
         else:
             found = _edit_problem(diff, suites, row, r["old"], r["new"])
             if isinstance(found, str):
-                yield f"replace[{k}]: {found}"
+                yield f"replace (replace {k}): {found}"
             else:
                 edits[row].append(Edit(found.start, found.end, found.new, k))
 
@@ -725,7 +724,7 @@ def _edit_overlaps(edits: dict[int, list[Edit]]) -> Iterator[str]:
         edits[row].sort(key=lambda e: e.start)
         for a, b in zip(edits[row], edits[row][1:], strict=False):
             if b.start < a.end:
-                yield f"replace[{b.index}]: span overlaps replace[{a.index}] on line {row}"
+                yield f"replace (replace {b.index}): meets replace {a.index} in row {row}"
 
 
 def mandatory_state(diff: Diff, moves: list[Move]) -> tuple[State, list[bool], Suites]:
@@ -808,21 +807,21 @@ def decode_plan(text: str, with_summary: bool = False) -> dict:
     try:
         plan = json.loads(text)
     except ValueError as e:
-        raise PlanError([f"invalid input: {e}"]) from None
+        raise PlanError([f"json: {e}"]) from None
     allowed = {*_ITEM_KEYS, *(["summary"] if with_summary else [])}
     if not isinstance(plan, dict) or plan.keys() - allowed:
         unknown = sorted(plan.keys() - allowed) if isinstance(plan, dict) else "no object"
-        raise PlanError([f"invalid input: unknown field {unknown}"])
+        raise PlanError([f"json: not a plan, by {unknown}"])
     if any(plan.get(k) is None for k in _ITEM_KEYS):
-        raise PlanError(["invalid input: remove, replace, and fold must all be JSON arrays (use [] when empty)"])
+        raise PlanError(["json: remove, replace and fold are lists, be they empty"])
     for key, fields in _ITEM_KEYS.items():
         for item in plan[key]:
             if not isinstance(item, dict) or item.keys() - fields:
-                raise PlanError([f"invalid input: unknown field in {key}"])
+                raise PlanError([f"json: a field of {key} isn't known"])
             for name, kind in fields.items():
                 value = item.setdefault(name, kind())
                 if not isinstance(value, kind) or isinstance(value, bool):
-                    raise PlanError([f"invalid input: {key}.{name} must be {kind.__name__}"])
+                    raise PlanError([f"json: {key}.{name} is no {kind.__name__}"])
     if with_summary:
         plan["summary"] = plan.get("summary") or ""
     return plan

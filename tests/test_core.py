@@ -75,8 +75,8 @@ def test_bare_hunk_header_is_open_until_a_pair():
 def test_wrong_counts_are_reported_once():
     d = Diff(file("a.c", "@@ -1,1 +1,1 @@\n-a\n+b\n+c\n+d\n"))
     assert len(d.problems) == 1
-    assert "hunk header on line 5" in d.problems[0]
-    assert "near line 8" in d.problems[0]
+    assert "hunk-counts (line 5)" in d.problems[0]
+    assert "line 8 shows" in d.problems[0]
     short = Diff(file("a.c", "@@ -1,3 +1,1 @@\n-a\n"))
     assert len(short.problems) == 1
 
@@ -90,8 +90,8 @@ def test_hunk_counts(row, counts):
 
 
 def test_combined_diffs_are_refused():
-    assert "combined diff on line 1" in check(Diff("diff --cc a\n"))[0]
-    assert "combined diff hunk on line 2" in check(Diff("diff --git a/x b/x\n@@@ -1 -1 +1 @@@\n"))[0]
+    assert "combined (line 1)" in check(Diff("diff --cc a\n"))[0]
+    assert "combined (line 2)" in check(Diff("diff --git a/x b/x\n@@@ -1 -1 +1 @@@\n"))[0]
 
 
 @pytest.mark.parametrize(("path", "language"), [("a.PYI", "python"), ('"b/x.Tsx"', "typescript"), ("x.kts", "java"), ("x.hxx", "c"), ("x", None), ("x.mjs", "javascript")])
@@ -180,10 +180,10 @@ def test_moves():
 
 def test_moves_must_be_treated_alike():
     raw = moved()
-    assert "move symmetry" in refused(raw, remove=[(1, 8)])
+    assert "move-symmetry (lines 6-8)" in refused(raw, remove=[(1, 8)])
     assert compile_plan(raw, plan(fold=[(6, 8), (14, 16)])).stats.fold_count == 2
-    assert "different boundaries" in refused(moved(more=["one more row"]), fold=[(6, 8), (15, 18)])
-    assert "different model-authored local elisions" in refused(raw, replace=[(7, "len(row.cells) for row", "len(...) for row")])
+    assert "have other ends" in refused(moved(more=["one more row"]), fold=[(6, 8), (15, 18)])
+    assert "move-elision (line 7)" in refused(raw, replace=[(7, "len(row.cells) for row", "len(...) for row")])
     assert extend_mask([Move(1, 2, 3, 4)], [True, False, False, False]) == [True, False, True, False]
 
 
@@ -201,27 +201,27 @@ def test_render_and_stats():
 @pytest.mark.parametrize(
     ("ops", "said"),
     [
-        ({"remove": [(3, 2)]}, "invalid inclusive range 3-2"),
-        ({"remove": [(7, 99)]}, "past end of diff"),
-        ({"remove": [(7, 8), (8, 8)]}, "overlaps an earlier range at line 8"),
-        ({"fold": [(7, 7)]}, "at least two lines"),
-        ({"fold": [(8, 9)]}, "mixed diff markers"),
-        ({"fold": [(4, 6)]}, "not source inside one diff hunk"),
-        ({"remove": [(7, 7)], "fold": [(7, 8)]}, "overlaps remove at line 7"),
-        ({"fold": [(7, 8), (7, 8)]}, "overlaps fold at line 7"),
-        ({"remove": [(5, 5)]}, "require hunk header on line 5"),
-        ({"remove": [(1, 1)]}, "diff header on line 1"),
-        ({"remove": [(3, 3)]}, "---/+++ headers"),
-        ({"remove": [(7, 11)]}, "hunk header on line 5 must be retained exactly"),
-        ({"replace": [(7, "int a", "...")], "remove": [(7, 7)]}, "line 7 is also removed"),
-        ({"replace": [(7, "", "...")]}, "old must not be empty"),
-        ({"replace": [(7, "int a", "int b")]}, "must match all of old"),
-        ({"replace": [(7, "int a", "int a")]}, "must elide some part"),
-        ({"replace": [(5, "@@ -1", "...1")]}, "not a source line"),
-        ({"replace": [(7, "zzz", "...z")]}, "exactly once"),
-        ({"replace": [(77, "zzz", "...z")]}, "outside the diff"),
-        ({"replace": [(7, "int a = 1", "int ... 1"), (7, "a = 1;", "...;")]}, "span overlaps"),
-        ({"replace": [(7, "int\x07a", "...a")]}, "control character"),
+        ({"remove": [(3, 2)]}, "remove-range (remove 0): 3-2"),
+        ({"remove": [(7, 99)]}, "remove-range (remove 0): row 99 of"),
+        ({"remove": [(7, 8), (8, 8)]}, "remove-overlap (remove 1): row 8"),
+        ({"fold": [(7, 7)]}, "fold-range (fold 0)"),
+        ({"fold": [(8, 9)]}, "fold-marker (fold 0)"),
+        ({"fold": [(4, 6)]}, "fold-source (fold 0): row 4"),
+        ({"remove": [(7, 7)], "fold": [(7, 8)]}, "fold-overlap (fold 0): row 7 is removed"),
+        ({"fold": [(7, 8), (7, 8)]}, "fold-overlap (fold 1): row 7 is folded"),
+        ({"remove": [(5, 5)]}, "hunk-rows (line 5)"),
+        ({"remove": [(1, 1)]}, "file-header (line 1)"),
+        ({"remove": [(3, 3)]}, "pair-split (lines 3-4)"),
+        ({"remove": [(7, 11)]}, "hunk-header (line 5)"),
+        ({"replace": [(7, "int a", "...")], "remove": [(7, 7)]}, "replace (replace 0): row 7 is removed"),
+        ({"replace": [(7, "", "...")]}, "old: missing"),
+        ({"replace": [(7, "int a", "int b")]}, "new: doesn't stand for old"),
+        ({"replace": [(7, "int a", "int a")]}, "new: elides nothing"),
+        ({"replace": [(5, "@@ -1", "...1")]}, "row 5: not a source row"),
+        ({"replace": [(7, "zzz", "...z")]}, "old: not just once in row 7"),
+        ({"replace": [(77, "zzz", "...z")]}, "replace (replace 0): row 77 of"),
+        ({"replace": [(7, "int a = 1", "int ... 1"), (7, "a = 1;", "...;")]}, "replace (replace 1): meets replace 0 in row 7"),
+        ({"replace": [(7, "int\x07a", "...a")]}, "old: holds a control character"),
     ],
 )
 def test_refusals(ops, said):
@@ -251,15 +251,15 @@ PY = file("a.py", hunk([" import os", "+@dec", "+def f(", "+    a,", "+):", "+
 
 
 def test_python_rules():
-    assert "hides Python decorator on line 7" in refused(PY, remove=[(7, 7)])
-    assert "hides Python suite owner on line 8" in refused(PY, remove=[(7, 10)])
-    assert "no indented body" in refused(PY, remove=[(11, 18)])
-    assert "crosses new-side" in refused(PY, remove=[(11, 11)])
-    assert "delimiter balance" in refused(PY, remove=[(16, 16)])
-    assert 'hides definition "LIMIT" on line 19' in refused(PY, remove=[(19, 19)])
-    assert "suite owner; keep the anchor" in refused(PY, fold=[(20, 21)])
-    assert "structural anchors" in refused(PY, replace=[(20, "def g", "...g")])
-    assert "boundary tokens" in refused(PY, replace=[(14, "x = [", "x...")])
+    assert "python-decorator (line 7)" in refused(PY, remove=[(7, 7)])
+    assert "python-suite (line 8): the header goes" in refused(PY, remove=[(7, 10)])
+    assert "the header stays without its suite" in refused(PY, remove=[(11, 18)])
+    assert "python-region (lines 11-11): on the new side" in refused(PY, remove=[(11, 11)])
+    assert "python-brackets (line 5)" in refused(PY, remove=[(16, 16)])
+    assert "python-reference (line 19): LIMIT" in refused(PY, remove=[(19, 19)])
+    assert "fold-anchor (fold 0): row 20" in refused(PY, fold=[(20, 21)])
+    assert "begins a Python suite" in refused(PY, replace=[(20, "def g", "...g")])
+    assert "other Python brackets" in refused(PY, replace=[(14, "x = [", "x...")])
     out = compile_plan(PY, plan(fold=[(11, 17)])).text
     assert "+    ...\n" in out
     assert "import os" not in out
@@ -267,7 +267,7 @@ def test_python_rules():
 
 def test_python_backslashes_and_placeholders():
     raw = file("a.py", hunk(["+x = 1 + \\", "+    2", "+y = 3"]))
-    assert "backslash continuation on lines 6-7" in refused(raw, remove=[(7, 7)])
+    assert "python-backslash (lines 6-7)" in refused(raw, remove=[(7, 7)])
     lazy = file("a.py", hunk(["+def f():", "+    import os", "+", "+y = 3"]))
     assert compile_plan(lazy, plan()).text.splitlines()[5:7] == ["+def f():", "+    ..."]
 
@@ -276,9 +276,9 @@ GO = file("a.go", hunk(["+func f() {", "+\tx := `{`", "+\tif x {", "+\t\tgo()",
 
 
 def test_go_rules():
-    assert "Go hunk 0 new-side no longer preserves delimiter structure" in refused(GO, remove=[(6, 6)])
-    assert "hides Go block owner on line 6" in refused(GO, remove=[(6, 6), (11, 11)])
-    assert "Go delimiters" in refused(GO, replace=[(6, "func f() {", "func...")])
+    assert "go-structure (line 5): delimiters of the new side" in refused(GO, remove=[(6, 6)])
+    assert "go-owner (line 6): the block" in refused(GO, remove=[(6, 6), (11, 11)])
+    assert "other Go braces" in refused(GO, replace=[(6, "func f() {", "func...")])
     assert compile_plan(GO, plan(fold=[(8, 10)])).text.count("...") == 1
     assert lx.go_tokens([(0, "a := '{' // }")])[-1] == ("comment", 0)
 
@@ -288,11 +288,11 @@ TS = file("a.ts", hunk(["+@Injectable()", "+export class A<T> {", "+  run(x: Map
 
 def test_typescript_rules():
     assert "detached" not in compile_plan(TS, plan(fold=[(8, 10)])).text
-    assert "decorator on line 6" in refused(TS, remove=[(6, 6)])
-    assert "no longer preserves delimiter structure" in refused(TS, remove=[(7, 7)])
-    assert "hides TypeScript export owner on line 7" in refused(TS, remove=[(6, 7), (11, 11)])
-    assert "unbalanced {+1} region" in refused(TS, fold=[(8, 9)])
-    assert "TypeScript delimiters" in refused(TS, replace=[(7, "export class A<T> {", "export class A... {")])
+    assert "typescript-decorator (line 6)" in refused(TS, remove=[(6, 6)])
+    assert "typescript-structure (line 5)" in refused(TS, remove=[(7, 7)])
+    assert "typescript-owner (line 7): the export" in refused(TS, remove=[(6, 7), (11, 11)])
+    assert "typescript-fold (lines 8-9): what it hides is open by {+1}" in refused(TS, fold=[(8, 9)])
+    assert "other TypeScript braces" in refused(TS, replace=[(7, "export class A<T> {", "export class A... {")])
     assert lx.ts_tokens([(0, "a > b; x => y; `${z}{`; // {")]) == [(";", 0), (";", 0), (";", 0)]
     assert [t for t, _ in lx.ts_tokens([(0, "return <Tag>{x}</Tag>")])] == ["<", ">", "<", ">"]
 
@@ -349,7 +349,7 @@ def test_strict_json_and_feedback():
             decode_plan(bad)
     said = feedback(compile_plan(C, plan(remove=[(8, 8)])))
     assert "4/5 visible changed rows (80%); 1 removed, 0 hidden by 0 folds; files 1/1." in said
-    with pytest.raises(PlanError, match="summary must not be empty"):
+    with pytest.raises(PlanError, match="summary: missing"):
         compile_submission(C, plan() | {"summary": " "})
     assert Stats(raw_changed=100, visible_changed=45).pressure
     assert not Stats(raw_changed=39, visible_changed=39).pressure

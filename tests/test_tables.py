@@ -70,8 +70,8 @@ def test_compile_table(spark, diffs):
     assert got[2, 1].stats.visible_changed == 2
     assert got[2, 1].smart_diff.endswith("+...\n")
     assert got[2, 2].smart_diff is None
-    assert "hunk header" in got[2, 2].errors[0]
-    assert "move symmetry" in got[6, 1].errors[0]
+    assert "hunk-counts" in got[2, 2].errors[0]
+    assert "move-symmetry" in got[6, 1].errors[0]
     assert got[4, 9].errors
     reading = D.compiled(diffs, table).where("plan_id = 1 and diff_id = 2")
     assert D.elisions(diffs, reading).head().elision == "kept 2/5 changed lines in 1/1 files"
