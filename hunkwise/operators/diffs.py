@@ -51,16 +51,25 @@ def each(df: DataFrame, columns: list[str], rule: Callable[..., Iterator[tuple]]
     return df.select(*columns).mapInArrow(run, kinds)
 
 
-def layout(diffs: DataFrame) -> DataFrame:
-    """Every row with its kind, file, hunk, language and, for markers, the row it belongs to."""
+def layout(diffs: DataFrame, with_imports: bool = False) -> DataFrame:
+    """Every row with its kind, file, hunk, language and, for markers, the row it belongs to.
 
-    def rule(diff_id, raw):
-        d = Diff(raw or "")
-        for i in range(len(d)):
-            owner = None if d.owner[i] is None else d.owner[i] + 1
-            yield diff_id, i + 1, d.text[i], d.eol[i], d.kind[i], d.file[i], d.hunk[i], d.language[i], owner
+    ``with_imports`` adds ``import``: whether it is hidden as one.
+    """
+    names = ["line_no", "text", "eol", "kind", "file_id", "hunk_id", "language", "marker_owner"] + ["import"] * with_imports
+    schema = to_arrow_schema(_parse_datatype_string("diff_id long, line_no int, text string, eol string, kind string, file_id int, hunk_id int, language string, marker_owner int" + ", import boolean" * with_imports))
 
-    return each(diffs, ["diff_id", "raw"], rule, "diff_id long, line_no int, text string, eol string, kind string, file_id int, hunk_id int, language string, marker_owner int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for diff_id, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                d = Diff(raw.as_py() or "")
+                n = len(d)
+                owner = [None if o is None else o + 1 for o in d.owner]
+                columns = [[diff_id] * n, range(1, n + 1), d.text, d.eol, d.kind, d.file, d.hunk, d.language, owner, *([imports.import_mask(d)] if with_imports else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    kinds = "diff_id long, line_no int, text string, eol string, kind string, file_id int, hunk_id int, language string, marker_owner int" + ", import boolean" * with_imports
+    return diffs.select("diff_id", "raw").mapInArrow(run, kinds).select("diff_id", *names)
 
 
 def problems(diffs: DataFrame) -> DataFrame:

@@ -44,28 +44,31 @@ def _count(group: int) -> Column:
 
 def layout(diffs: DataFrame) -> DataFrame:
     """``diff_id, line_no, text, eol, kind, file_id, hunk_id, language`` of well-formed diffs."""
+    # Every window has the same partitioning and order, so rows are shuffled and sorted once.
     by_row = Window.partitionBy("diff_id").orderBy("line_no")
+    before = by_row.rowsBetween(Window.unboundedPreceding, -1)
+    text, marker = F.col("text"), F.col("marker")
+    path = lambda row: path_language(F.split(F.trim(F.substr(row, F.lit(5))), "\t")[0])
     rows = lines(diffs).withColumn("marker", F.substring("text", 1, 1))
-    # A row that can't be source ends a stretch; a stretch that begins at a counted header is a hunk.
-    breaks = ~F.col("marker").isin(" ", "+", "-") & (F.col("text") != NO_NEWLINE)
-    rows = rows.withColumn("stretch", F.sum(breaks.cast("int")).over(by_row))
-    in_stretch = Window.partitionBy("diff_id", "stretch").orderBy("line_no")
-    before = in_stretch.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"old_left": F.when(F.col("text").startswith("@@"), _count(1)), "new_left": F.when(F.col("text").startswith("@@"), _count(2))})
+    plus = text.rlike(r"\A\+\+\+[ \t]")
     rows = rows.withColumns({
-        "old_left": F.first("old_left").over(in_stretch) - F.coalesce(F.count_if(F.col("marker").isin(" ", "-")).over(before), F.lit(0)),
-        "new_left": F.first("new_left").over(in_stretch) - F.coalesce(F.count_if(F.col("marker").isin(" ", "+")).over(before), F.lit(0)),
+        "old_before": F.coalesce(F.count_if(marker.isin(" ", "-")).over(before), F.lit(0)),
+        "new_before": F.coalesce(F.count_if(marker.isin(" ", "+")).over(before), F.lit(0)),
+        "plus_next": F.coalesce(F.lead(plus).over(by_row), F.lit(False)),
+        "plus_language": F.lead(F.when(plus, path(text))).over(by_row),
     })
+    # A row that can't be source ends a stretch; a stretch that begins at a counted header is a hunk.
+    breaks = ~marker.isin(" ", "+", "-") & (text != NO_NEWLINE)
+    counted = F.when(text.startswith("@@"), F.struct((_count(1) + F.col("old_before")).alias("old"), (_count(2) + F.col("new_before")).alias("new")))
+    rows = rows.withColumn("open", F.last(F.when(breaks, F.struct(counted.alias("ends"))), ignorenulls=True).over(by_row))
     # The header itself is not source, whatever it starts with.
-    source = ((F.col("old_left") > 0) | (F.col("new_left") > 0)) & F.col("marker").isin(" ", "+", "-")
+    source = ((F.col("open.ends.old") > F.col("old_before")) | (F.col("open.ends.new") > F.col("new_before"))) & marker.isin(" ", "+", "-")
     rows = rows.withColumn("source", F.coalesce(source, F.lit(False)))
-    nxt = F.lead("text").over(by_row)
-    pair = ~F.col("source") & F.col("text").rlike(r"\A---[ \t]") & nxt.rlike(r"\A\+\+\+[ \t]")
-    rows = rows.withColumn("pair", F.coalesce(pair, F.lit(False)))
-    git = ~F.col("source") & F.col("text").startswith("diff --git ")
+    rows = rows.withColumn("pair", ~F.col("source") & text.rlike(r"\A---[ \t]") & F.col("plus_next"))
+    git = ~F.col("source") & text.startswith("diff --git ")
     rows = rows.withColumns({"git": git, "second": F.coalesce(F.lag("pair").over(by_row), F.lit(False)) & ~F.col("source")})
     sign = ~F.col("source") & (F.col("text") == SIGNATURE)
-    rows = rows.withColumn("gits", F.last(F.when(F.col("git"), True).when(sign, False), ignorenulls=True).over(by_row.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("gits", F.last(F.when(F.col("git"), True).when(sign, False), ignorenulls=True).over(before))
     starts = F.col("git") | (F.col("pair") & ~F.coalesce("gits", F.lit(False)))
     kind = F.when(F.col("source"), F.when(F.col("marker") == " ", "context").otherwise("change")).when(F.col("text") == NO_NEWLINE, "no_newline")
     kind = kind.when(F.col("second"), "new_file").when(sign, "mail_signature").when(F.col("git"), "header")
@@ -77,8 +80,7 @@ def layout(diffs: DataFrame) -> DataFrame:
     in_hunk = F.col("kind").isin("hunk_header", "context", "change", "no_newline")
     fields = F.split("text", r"\s+")
     of_row = F.when(F.col("git"), F.coalesce(path_language(F.get(fields, F.lit(3))), path_language(F.get(fields, F.lit(2)))))
-    of_row = of_row.when(F.col("pair"), F.coalesce(path_language(F.split(F.trim(F.expr("substr(lead_text, 5)")), "\t")[0]), path_language(F.split(F.trim(F.expr("substr(text, 5)")), "\t")[0])))
-    rows = rows.withColumn("lead_text", nxt)
+    of_row = of_row.when(F.col("pair"), F.coalesce("plus_language", path(text)))
     known = F.last(F.when(F.col("git"), F.coalesce(of_row, F.lit(""))).otherwise(of_row), ignorenulls=True).over(by_row)
     return rows.select(
         "diff_id", "line_no", "text", "eol", "kind",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hunkwise import fixtures
+from hunkwise import scenarios as S
 from hunkwise.functions import columns as C
 from hunkwise.operators import diffs as D
 from hunkwise.operators import native as N
@@ -54,7 +55,7 @@ def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = BASE + sql if "FROM r" in sql or "FROM b" in sql else sql
+            ORACLES[name] = BASE + sql if not sql.startswith("WITH") and ("FROM r" in sql or "FROM b" in sql) else sql
         return f
 
     return register
@@ -165,25 +166,30 @@ def delimiter_nets(spark, sf_dir):
     return D.delimiter_nets(fixtures.diffs(spark, sf_dir))
 
 
-def fixture_plans(layout: DataFrame, imports: DataFrame) -> DataFrame:
-    """A plan per diff: in files without structure rules every seventh row goes, rows 9 to 12 fold."""
+def fixture_plans(layout: DataFrame) -> DataFrame:
+    """A plan per diff: in files without structure rules every seventh row goes, rows 9 to 12 fold.
+
+    ``layout`` has its imports; it is read once, and rows meet by hunk and then by diff.
+    """
+    free = ~F.col("import") & (F.col("language").isin("rust", "c", "java", "javascript") | F.col("language").isNull())
+    rows = layout.where("kind = 'change'").select("diff_id", "hunk_id", "line_no", free.alias("free"), F.expr("substr(text, 2)").rlike(r"\S").alias("says"))
     in_hunk = Window.partitionBy("diff_id", "hunk_id")
-    rows = layout.where("kind = 'change'").join(imports, ["diff_id", "line_no"], "left_anti").where(F.col("language").isin("rust", "c", "java", "javascript") | F.col("language").isNull())
-    rows = rows.withColumn("at", F.row_number().over(in_hunk.orderBy("line_no"))).withColumn("n", F.count("*").over(in_hunk))
+    rows = rows.withColumns({"at": F.count_if("free").over(in_hunk.orderBy("line_no")), "n": F.count_if("free").over(in_hunk)})
     one = F.struct(F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"))
-    text = F.expr("substr(text, 2)").rlike(r"\S")
-    fold = rows.where("at between 9 and 12 and n >= 13").groupBy("diff_id", "hunk_id").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.max(text).alias("some")).where("some")
-    folds = fold.groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line"))).alias("fold"))
-    removes = rows.where("at % 7 = 0 and n >= 7").groupBy("diff_id").agg(F.array_sort(F.collect_list(one)).alias("remove"))
-    empty = lambda kind: F.array().cast(f"array<{kind}>")
-    out = layout.select("diff_id").distinct().join(removes, "diff_id", "left").join(folds, "diff_id", "left")
-    return out.select("diff_id", F.lit(1).cast("long").alias("plan_id"), F.coalesce("remove", empty(D.RANGE)).alias("remove"), empty("struct<line:int,old:string,new:string>").alias("replace"), F.coalesce("fold", empty(D.RANGE)).alias("fold"))
+    inside = F.expr("free and at between 9 and 12 and n >= 13")
+    line = F.when(inside, F.col("line_no"))
+    of_hunk = rows.groupBy("diff_id", "hunk_id").agg(
+        F.collect_list(F.when(F.expr("free and at % 7 = 0 and n >= 7"), one)).alias("remove"), F.min(line).alias("start_line"), F.max(line).alias("end_line"), F.max(inside & F.col("says")).alias("some")
+    )
+    fold = F.when(F.col("some"), F.struct("start_line", "end_line"))
+    out = of_hunk.groupBy("diff_id").agg(F.array_sort(F.flatten(F.collect_list("remove"))).alias("remove"), F.array_sort(F.collect_list(fold)).alias("fold"))
+    empty = F.array().cast("array<struct<line:int,old:string,new:string>>")
+    return out.select("diff_id", F.lit(1).cast("long").alias("plan_id"), "remove", empty.alias("replace"), "fold")
 
 
 def compiled_fixture(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     diffs = fixtures.diffs(spark, sf_dir)
-    plans = fixture_plans(L.layout(diffs), N.range_rows(D.import_ranges(diffs)))
-    return diffs, D.compiled(diffs, plans, detect_moves=False)
+    return diffs, D.compiled(diffs, fixture_plans(D.layout(diffs, with_imports=True)), detect_moves=False)
 
 
 _PLANNED = """
@@ -325,6 +331,99 @@ def diff_problems(spark, sf_dir):
 def plan_symmetry(spark, sf_dir):
     """The fixture's plans with the diffs' own moves enforced: how many reasons speak against each."""
     diffs = fixtures.diffs(spark, sf_dir)
-    plans = fixture_plans(L.layout(diffs), N.range_rows(D.import_ranges(diffs)))
-    out = D.compiled(diffs, plans)
+    out = D.compiled(diffs, fixture_plans(D.layout(diffs, with_imports=True)))
     return out.select("diff_id", F.size("errors").alias("n_errors"), F.size("moves").alias("n_moves"), F.octet_length("smart_diff").alias("n_bytes"))
+
+
+# --- written cases, see ``hunkwise.scenarios`` ---
+
+
+def _reasons(errors: DataFrame) -> DataFrame:
+    """``doc_id, rule, place`` of each problem; rows without one are accepted."""
+    one = errors.select(F.col("diff_id").alias("doc_id"), F.explode_outer("errors").alias("e"))
+    part = lambda k: F.regexp_extract("e", r"^([a-z-]+) \(([^)]*)\)", k)
+    return one.select("doc_id", F.when(F.col("e").isNull(), "accepted").otherwise(part(1)).alias("rule"), F.when(F.col("e").isNull(), "").otherwise(part(2)).alias("place"))
+
+
+_verdicts = S.said("refused") + [(n, "accepted", "") for n, c in enumerate(S.CASES) if c.plan is not None and not c.refused]
+
+
+@query("plan_verdicts", S.spread("rule, place", _verdicts, "doc_id, rule, place"))
+def plan_verdicts(spark, sf_dir):
+    """Plans on Python, Go, TypeScript and plain files, moves enforced: every reason against each."""
+    return _reasons(S.planned(spark, sf_dir)[1])
+
+
+_readings = [(n, c.reading, c.elision) for n, c in enumerate(S.CASES) if c.plan is not None and not c.refused]
+
+
+@query("plan_readings", S.spread("reading, elision", _readings, "doc_id, sha256(replace(reading, '§', name)) AS smart_sha256"))
+def plan_readings(spark, sf_dir):
+    out = S.planned(spark, sf_dir)[1].where("size(errors) = 0")
+    return out.select(F.col("diff_id").alias("doc_id"), F.sha2(F.col("smart_diff").cast("binary"), 256).alias("smart_sha256"))
+
+
+@query("plan_elisions", S.spread("reading, elision", _readings, "doc_id, elision"))
+def plan_elisions(spark, sf_dir):
+    diffs, out = S.planned(spark, sf_dir)
+    return D.elisions(diffs, out.where("size(errors) = 0")).select(F.col("diff_id").alias("doc_id"), "elision")
+
+
+_rows = [(n, i + 1, *x) for n, c in enumerate(S.CASES) for i, x in enumerate(c.layout)]
+
+
+@query("odd_layouts", S.spread("line_no, kind, file_id, hunk_id, language, marker_owner", _rows, "doc_id, line_no, kind, CAST(file_id AS INT) AS file_id, CAST(hunk_id AS INT) AS hunk_id, language, CAST(marker_owner AS INT) AS marker_owner"))
+def odd_layouts(spark, sf_dir):
+    """Renames, modes, mail trailers, rows without a newline, pairs without headers, bare hunk headers."""
+    out = D.layout(S.dealt(spark, sf_dir, layout=False))
+    return out.select(F.col("diff_id").alias("doc_id"), "line_no", "kind", "file_id", "hunk_id", "language", "marker_owner")
+
+
+@query("unreadable_diffs", S.spread("rule, place", S.said("unreadable"), "doc_id, rule, place"))
+def unreadable_diffs(spark, sf_dir):
+    return _reasons(D.problems(S.dealt(spark, sf_dir, unreadable=False)))
+
+
+def _ranges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("diff_id").alias("doc_id"), "start_line", "end_line")
+
+
+def _range_sql(field: str) -> str:
+    return S.spread("start_line, end_line", S.said(field), "doc_id, start_line, end_line")
+
+
+@query("written_imports", _range_sql("imports"))
+def written_imports(spark, sf_dir):
+    """Statements over several rows, guards, literals, headings that continue one, whole files."""
+    return _ranges(D.import_ranges(S.dealt(spark, sf_dir, imports=True)))
+
+
+@query("written_mandatory", _range_sql("mandatory"))
+def written_mandatory(spark, sf_dir):
+    return _ranges(D.mandatory_rows(S.dealt(spark, sf_dir, mandatory=True)))
+
+
+@query("written_moves", S.spread("removed_start, removed_end, added_start, added_end", S.said("moves"), "doc_id, removed_start, removed_end, added_start, added_end"))
+def written_moves(spark, sf_dir):
+    """Exact moves, extended to blank rows and other indents; a third copy makes them ambiguous."""
+    return D.exact_moves(S.dealt(spark, sf_dir, moves=True)).withColumnRenamed("diff_id", "doc_id")
+
+
+@query("written_literals", _range_sql("literals"))
+def written_literals(spark, sf_dir):
+    return _ranges(D.literal_rows(S.dealt(spark, sf_dir, literals=True)))
+
+
+@query("written_delimiters", S.spread("hunk_id, side, language, round, square, curly, angle", S.said("nets"), "doc_id, hunk_id, side, language, round, square, curly, angle"))
+def written_delimiters(spark, sf_dir):
+    return D.delimiter_nets(S.dealt(spark, sf_dir, nets=True)).withColumnRenamed("diff_id", "doc_id")
+
+
+_pieces = [(n, i, *x) for n, c in enumerate(S.CASES) for i, x in enumerate(c.chunks or ())]
+
+
+@query("written_chunks", S.spread("chunk_no, text, section_id, continuation", _pieces, "doc_id, chunk_no, sha256(replace(text, '§', name)) AS text_sha256, CAST(section_id AS INT) AS section_id, continuation"))
+def written_chunks(spark, sf_dir):
+    """Whole files, hunks with their file's metadata, and cut hunks with headers of their own."""
+    out = D.chunks(S.dealt(spark, sf_dir, chunks=False), S.BUDGET)
+    return out.select(F.col("diff_id").alias("doc_id"), "chunk_no", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "section_id", "continuation")
