@@ -952,6 +952,40 @@ def test_arc_forms():
     assert block == found[0]["block"]
 
 
+def test_arc_files_of_others():
+    """ARC bytes written by hand: dates of 12 digits, CRLF line ends, blanks in a URL, bodies with blank lines, no final line end."""
+    head = b"1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n"
+    a = b"HTTP/1.0 200 Document follows\r\nContent-Type: text/html\r\n\r\n<HTML>\n\nhttp://not.a/record 1.2.3.4 19990101 text/html 5\n</HTML>"
+    b = b"HTTP/1.1 404 Not Found\r\n\r\n"
+    arc = b"filedesc://x.arc 0.0.0.0 19960923142103 text/plain %d\r\n%s" % (len(head), head)
+    arc += b"\n\nhttp://www.dryswamp.edu:80/index page.html 127.10.100.2 199611041421 text/html %d\n%s\n" % (len(a), a)
+    arc += b"http://b/ 127.0.0.1 1997 no-type %d\n%s" % (len(b), b)
+    found = list(archive.parse_arc(arc))
+    assert [(f["URL"], f["Archive-date"], f["block"]) for f in found] == [("http://www.dryswamp.edu:80/index%20page.html", "199611041421", a), ("http://b/", "1997", b)]
+    (h, block), (h2, block2) = archive.parse_warc(b"".join(archive.to_warc(f, str(f["at"])) + b"\r\n\r\n" for f in found))
+    assert (h["WARC-Type"], h["WARC-Date"], block) == ("response", "1996-11-04T14:21:00Z", a)
+    assert h["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(a.split(b"\r\n\r\n", 1)[1]).hexdigest()
+    assert h["WARC-Block-Digest"] == "sha1:" + hashlib.sha1(a).hexdigest()
+    assert block2 == b
+    assert h["WARC-Record-ID"] != h2["WARC-Record-ID"]
+    two = b"2 0 crawler\n" + archive.ARC_FIELDS[2].encode() + b"\n"
+    arc = b"filedesc://y.arc 0.0.0.0 2001 text/plain 200 - - 0 y.arc %d\n%s\nhttp://c/ 1.2.3.4 20010203040506 text/html 200 sum - 99 y.arc %d\n%s\n" % (len(two), two, len(a), a)
+    assert [f["Offset"] for f in archive.parse_arc(arc)] == ["99"]
+    with pytest.raises(ValueError, match="unknown fields"):
+        list(archive.parse_arc(arc.replace(b"Checksum", b"Sum")))
+
+
+def test_warc_of_repeated_and_null_ids(spark):
+    big, other = "y" * 1500, "z" * 1500
+    pages = [(None, "u", big), (1, "u", big), (1, "u", big), (None, "u", "small"), (0, "u", big), (2, "u", other), (2, None, big[:1200]), (None, None, None), (None, "u", other[:1300]), (None, "u", other[:1300])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in archive.archive_pages(df).collect())
+    assert got == Counter([
+        (None, 1500, "response", None), (1, 1500, "response", None), (1, 1500, "response", None), (None, 5, "response", None), (0, 1500, "revisit", 1),
+        (2, 1500, "response", None), (2, 1200, "response", None), (None, 0, "response", None), (None, 1300, "response", None), (None, 1300, "response", None),
+    ])
+
+
 def test_warc_round_trip(spark):
     big = "x\r\n\r\ny" * 300
     pages = [(1, "u", big), (2, None, big), (3, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", "é" * 600), (8, "u", LONG), (9, "u", big + "z"), (10, "u v", "é" * 600)]
