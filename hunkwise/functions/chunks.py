@@ -140,7 +140,7 @@ class Splitter:
 
     def add(self, chunk: Chunk) -> None:
         if len(self.chunks) >= MOST_CHUNKS:
-            raise PlanError([f"diff splits into more than {MOST_CHUNKS} chunks — try a narrower range"])
+            raise PlanError([f"chunks (diff): more than {MOST_CHUNKS} would be needed; a narrower range needs fewer"])
         self.chunks.append(chunk)
 
     def file_spans(self) -> list[tuple[int, int]]:
@@ -178,7 +178,7 @@ class Splitter:
     def split(self) -> list[Chunk]:
         spans = self.file_spans()
         if not spans:
-            raise PlanError([f"diff is {size(self.diff.raw) >> 10}KB with no file sections to split into abridgeable chunks — try a narrower range"])
+            raise PlanError([f"chunks (diff): {size(self.diff.raw) >> 10} KB without a file to cut at"])
         self.pack(spans, Size, lambda a, b: self.add(Chunk(self.text(a, b), origins=list(range(a, b)))), self.split_file)
         return self.chunks
 
@@ -187,7 +187,7 @@ class Splitter:
         diff = self.diff
         first = next((i for i in range(a, b) if diff.kind[i] == "hunk_header"), None)
         if first is None:
-            raise PlanError([f"file section at line {a + 1} is {self.size(a, b).raw >> 10}KB with no hunks to split — try a narrower diff"])
+            raise PlanError([f"chunks (line {a + 1}): a file of {self.size(a, b).raw >> 10} KB without a hunk to cut at"])
         meta = next((i for i in range(a, first) if diff.file[i] is not None), first)
         tail = next((i + 1 for i in range(b - 1, first - 1, -1) if diff.kind[i] in (*SOURCE, "no_newline", "hunk_header")), first)
         heads = [i for i in range(first, tail) if diff.kind[i] == "hunk_header"]
@@ -215,7 +215,7 @@ class Splitter:
             rest = self.text(a, meta) + rest
         if rest:
             if not fits(rest, self.budget):
-                raise PlanError([f"cannot fit the diff trailer at line {tail + 1} into a chunk under the size limit — try a narrower diff"])
+                raise PlanError([f"chunks (line {tail + 1}): what follows the last hunk is too large for a chunk"])
             self.add(Chunk(rest, verbatim=True))
 
     def emitted(self, i: int) -> tuple[str, str, int] | None:
@@ -297,7 +297,7 @@ class Splitter:
             if began is None:
                 return
             if not rows:
-                raise PlanError([f"cannot split the diff near line {units[at][0] + 1} into a chunk under the size limit — try a narrower diff"])
+                raise PlanError([f"chunks (line {units[at][0] + 1}): rows that belong together are too large for a chunk"])
             if changed:
                 header = make_header(starts, began, counts, head)
                 emit(header + eol + "".join(t + e for t, e, _ in rows), [-1, *(o for _, _, o in rows)])

@@ -7,18 +7,21 @@ as by ``hunkwise.functions.plans``. ``abridge`` handles one diff, ``abridge_all`
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hunkwise.functions import chunks as ch
 from hunkwise.functions import plans
 from hunkwise.functions.diff import Diff, check, numbered
 from hunkwise.functions.moves import Move, find_moves, format_moves
-from hunkwise.sources.diffs import truncated
+from hunkwise.sources.diffs import cache_load, cache_store, cached, truncated
 
-MOST_TURNS = 24
+#: Turns of a run, and its seconds; a turn that would begin later doesn't.
+MOST_TURNS, SECONDS = 24, 240.0
 
 
 @dataclass
@@ -79,19 +82,22 @@ class _Session:
                 return truncated(self.tools[c.name](c.input)), False
         except plans.PlanError as e:
             said = str(e)
-            return truncated(said if said.startswith("invalid input") else f"invalid edit plan: {said}"), True
+            return truncated(said if said.startswith("json:") else f"the plan is refused: {said}"), True
         except (ValueError, OSError) as e:
             return str(e), True
         return f"unknown tool {c.name}", True
 
 
-def _run(planner: Planner, raw: str, moves: list[Move] | None, tools: dict[str, Tool], most_turns: int) -> ch.Result:
+def _run(planner: Planner, raw: str, moves: list[Move] | None, tools: dict[str, Tool], most_turns: int, seconds: float) -> ch.Result:
     session = _Session(raw, moves, tools)
     shown = find_moves(session.diff) if moves is None else moves
     messages = [Message("user", prompt(raw, shown))]
     spent = [0, 0]
     draft: ch.Result | None = None
+    until = time.monotonic() + seconds
     for turn in range(most_turns):
+        if time.monotonic() >= until:
+            break
         try:
             answer = planner(messages)
         except Exception:
@@ -110,20 +116,20 @@ def _run(planner: Planner, raw: str, moves: list[Move] | None, tools: dict[str,
         messages.append(Message("user", "" if results else "Answer with a tool call; submit when done.", results=results))
     if draft:
         return ch.Result(draft.smart_diff, draft.summary, *spent)
-    raise AbridgeError(f"the planner did not submit within {most_turns} turns")
+    raise AbridgeError(f"no submission within {most_turns} turns and {seconds:g} seconds")
 
 
-def abridge(planner: Planner, raw: str, tools: dict[str, Tool] | None = None, most_turns: int = MOST_TURNS, budget: int = ch.RUN_BYTES) -> ch.Result:
-    """One diff abridged; oversized ones chunk by chunk."""
+def abridge(planner: Planner, raw: str, tools: dict[str, Tool] | None = None, most_turns: int = MOST_TURNS, budget: int = ch.RUN_BYTES, seconds: float = SECONDS) -> ch.Result:
+    """One diff abridged; oversized ones chunk by chunk, each within ``most_turns`` and ``seconds``."""
     if not raw.strip():
         return ch.Result("", "No changes.")
     if ch.size(raw) > ch.TOTAL_BYTES:
-        raise AbridgeError(f"diff is {ch.size(raw) >> 20}MB, over the {ch.TOTAL_BYTES >> 20}MB limit — try a narrower range")
+        raise AbridgeError(f"diff of {ch.size(raw) >> 20} MB, {ch.TOTAL_BYTES >> 20} MB are read; take a narrower range")
     diff = Diff(raw)
     if check(diff):
         raise plans.PlanError(check(diff))
     if ch.fits(raw, budget):
-        return _run(planner, raw, None, tools or {}, most_turns)
+        return _run(planner, raw, None, tools or {}, most_turns, seconds)
     whole = find_moves(diff)
     parts: list[tuple[ch.Chunk, ch.Result | None]] = []
     chunks = ch.split_diff(diff, budget)
@@ -134,7 +140,7 @@ def abridge(planner: Planner, raw: str, tools: dict[str, Tool] | None = None, mo
             continue
         number -= 1
         try:
-            parts.append((c, _run(planner, c.text, ch.chunk_moves(whole, c.origins), tools or {}, most_turns)))
+            parts.append((c, _run(planner, c.text, ch.chunk_moves(whole, c.origins), tools or {}, most_turns, seconds)))
         except Exception as e:
             raise AbridgeError(f"chunk {total - number}/{total}: {e}") from e
     return ch.merge(parts)
@@ -152,3 +158,17 @@ def abridge_all(diffs: DataFrame, planner: Planner, most_turns: int = MOST_TURNS
             yield diff_id, None, None, None, None, str(e)
 
     return each(diffs, ["diff_id", "raw"], rule, "diff_id long, smart_diff string, summary string, input_tokens long, output_tokens long, error string", batch=8)
+
+
+def abridge_cached(diffs: DataFrame, planner: Planner, folder: str, protocol: str, model: str, most_turns: int = MOST_TURNS) -> DataFrame:
+    """``abridge_all`` with a cache in ``folder``: hits are read, misses computed once and stored, errors not stored.
+
+    Diffs with one key are computed once. The result is read from the cache, so nothing is computed twice.
+    """
+    cache = cache_load(diffs.sparkSession, folder)
+    _, misses = cached(diffs, cache, protocol, model)
+    once = misses.groupBy("cache_key").agg(F.min_by("raw", "diff_id").alias("raw"), F.min("diff_id").alias("diff_id"))
+    made = abridge_all(once.select("diff_id", "raw"), planner, most_turns).join(once.select("diff_id", "cache_key"), "diff_id")
+    cache_store(made.select("cache_key", "smart_diff", "summary", "input_tokens", "output_tokens", "error"), folder)
+    hits, failed = cached(diffs, cache_load(diffs.sparkSession, folder, with_errors=True), protocol, model)
+    return hits.select("diff_id", "smart_diff", "summary", "input_tokens", "output_tokens", "error")

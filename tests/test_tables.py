@@ -86,7 +86,7 @@ def test_chunk_table(spark, diffs):
     rows = lambda t: [r for r in t.splitlines() if not r.startswith("@@")]
     assert rows(m[7].smart_diff) == rows(RAWS[7])
     assert m[7].output_tokens == 2 * m[7].input_tokens
-    assert "no file sections" in c.where("diff_id = 1").head().error
+    assert "without a file to cut at" in c.where("diff_id = 1").head().error
 
 
 def test_columns(spark):
@@ -140,6 +140,86 @@ def test_results_and_cache(spark, diffs):
     assert (hits.count(), misses.count()) == (4, len(RAWS) - 4)
 
 
+def test_source_precedence(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for text in ("one\n", "two\n"):
+        (tmp_path / "f.txt").write_text(text)
+        git("add", "-A")
+        git("commit", "-qm", "m")
+    (tmp_path / "f.txt").write_text("three\n")
+    git("add", "-A")
+    (tmp_path / "f.txt").write_text("four\n")
+    read = lambda **k: S.read_diffs(spark, repo=str(tmp_path), **k).head().raw
+    assert "+three" in read(staged=True, piped="x")
+    assert "+four" in read(worktree=True)
+    assert "+two" in read(revisions=["HEAD"], piped="x")
+    assert read(piped="x\n") == "x\n"
+    assert "+two" in read()
+    for bad in (dict(staged=True, worktree=True), dict(staged=True, revisions=["HEAD"]), dict(revisions=["a", "b"])):
+        with pytest.raises(ValueError):
+            read(**bad)
+
+
+def test_repo_tools(spark):
+    rows = [("a/x.py", i, f"row {i}") for i in range(1, 301)] + [("b.txt", 1, "row of b"), ("a.py", 1, "other")]
+    t = S.RepoTools(spark.createDataFrame(rows, "path string, line_no int, text string")).tools
+    ask = lambda name, **k: t[name](json.dumps(k))
+    assert ask("read_file", path="a/./x.py", start_line=-3, end_line=2) == "1\trow 1\n2\trow 2"
+    assert ask("read_file", path="a/x.py", start_line=299).count("\n") == 1
+    assert ask("read_file", path="a/x.py", start_line=900) == ""
+    assert ask("grep", pattern="^row of") == "b.txt:1:row of b"
+    assert ask("grep", pattern="row", path="a").count("\n") == 200
+    assert ask("grep", pattern="row", path="a").endswith("... (more matches)")
+    assert ask("grep", pattern="row", path="a.py") == "(no matches)"
+    for name, k in (("read_file", {"path": "../x"}), ("read_file", {"path": "none"}), ("grep", {"pattern": ""}), ("grep", {"pattern": "x", "path": "/etc"}), ("read_file", {"file": "x"})):
+        with pytest.raises(ValueError):
+            ask(name, **k)
+    script = iter([call("read_file", path="b.txt"), call("read_file", path="/b.txt"), call("submit", summary="ok", **plan())])
+    seen = []
+    agent.abridge(lambda m: (seen.append(m[-1]), next(script))[1], C_DIFF, tools=t)
+    assert [m.results[0][1:] for m in seen[1:]] == [("1\trow of b", False), ("path is outside the repository: /b.txt", True)]
+
+
+def _counted(folder):
+    def planner(messages):
+        with open(f"{folder}/asked", "a") as f:
+            f.write("x")
+        if "b.py" in messages[0].text:
+            raise RuntimeError("no answer")
+        return call("submit", summary="s", **plan())
+
+    return planner
+
+
+def test_cache_round_trip(spark, tmp_path):
+    asked = lambda: len((tmp_path / "asked").read_text())
+    folder = f"file://{tmp_path}/cache"
+    diffs = spark.createDataFrame([(1, C_DIFF), (2, C_DIFF), (3, C_DIFF.replace("a.c", "b.py")), (4, None)], "diff_id long, raw string")
+    run = lambda: {r.diff_id: (r.summary, r.error) for r in agent.abridge_cached(diffs, _counted(tmp_path), folder, "p", "m").collect()}
+    first = run()
+    assert first[1] == first[2] == ("s", None)
+    assert "no answer" in first[3][1]
+    assert first[4][0] == "No changes."
+    assert asked() == 2  # one for both copies, one for the failing diff, none for the empty one
+    assert run() == first
+    assert asked() == 3  # only what failed is asked again
+    # What can't be read is a miss; of two results the later counts.
+    key = diffs.where("diff_id = 1").withColumn("cache_key", C.cache_key(S.F.lit("p"), S.F.lit("m"), S.F.col("raw"))).select("cache_key")
+    S.cache_store(key.selectExpr("cache_key", "'new' as smart_diff", "'later' as summary", "1L as input_tokens", "1L as output_tokens", "cast(null as string) as error"), folder)
+    assert run()[1][0] == "later"
+    for p in (tmp_path / "cache").glob("entry-*/*.parquet"):
+        p.write_bytes(b"broken")
+    for p in (tmp_path / "cache").glob("entry-*/.*.crc"):
+        p.unlink()
+    assert S.cache_load(spark, folder).count() == 0
+
+
+def test_time_budget():
+    with pytest.raises(agent.AbridgeError, match="no submission within 24 turns and 0 seconds"):
+        agent.abridge(lambda m: call("preview_plan", **plan()), C_DIFF, seconds=0)
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i, raw in enumerate((C_DIFF, PY)):
@@ -172,7 +252,7 @@ def test_planner_loop():
     assert "summary: missing" in seen[3].results[0][1]
     assert seen[4].results[0][1].startswith("Valid source-derived plan")
     assert agent.abridge(planner, " \n").summary == "No changes."
-    with pytest.raises(agent.AbridgeError, match="did not submit"):
+    with pytest.raises(agent.AbridgeError, match="no submission within 2 turns"):
         agent.abridge(lambda m: agent.Answer(), C_DIFF, most_turns=2)
     with pytest.raises(PlanError):
         agent.abridge(planner, "diff --cc x\n")
