@@ -156,11 +156,6 @@ def mandatory_rows(spark, sf_dir):
     return D.mandatory_rows(fixtures.diffs(spark, sf_dir))
 
 
-@query("literal_rows")
-def literal_rows(spark, sf_dir):
-    return D.literal_rows(fixtures.diffs(spark, sf_dir))
-
-
 @query("delimiter_nets")
 def delimiter_nets(spark, sf_dir):
     return D.delimiter_nets(fixtures.diffs(spark, sf_dir))
