@@ -241,16 +241,16 @@ _HOST = re.compile(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#\s]+
 
 def _style_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The features of pages as rows ``host, node, main, kind, feature, page``; kind 2 counts the host's pages."""
+    kinds = {"host": pa.string(), "node": pa.int64(), "main": pa.bool_(), "kind": pa.int32(), "feature": pa.int64(), "page": pa.int64()}
     for batch in batches:
-        seen: set[tuple] = set()
-        for url, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            host, page = host_of(url), Page(source.as_py() or "")
-            key = page.key()
-            seen.update((host, *f, key) for f in page.features())
-            seen.add((host, 0, False, 2, 0, key))
-        cols = zip(*seen, strict=True) if seen else [()] * 6
-        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "node", "main", "kind", "feature", "page"])
+        for lo in range(0, batch.num_rows, 1000):
+            some, seen = batch.slice(lo, 1000), set()
+            for url, source in zip(some.column(0).to_pylist(), some.column(1), strict=True):
+                host, page = host_of(url), Page(source.as_py() or "")
+                key = page.key()
+                seen.update((host, *f, key) for f in page.features())
+                seen.add((host, 0, False, 2, 0, key))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*seen, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
 def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
