@@ -557,6 +557,54 @@ def test_quality_grams_are_of_characters(monkeypatch):
     assert sum(len(x) for kind, x in quality.grams(t.encode()) if kind == 0) in (41, 42, 43, 44)
 
 
+def test_quality_grams_across_segments(monkeypatch):
+    """Whatever the segments, the n-grams are those of the whole text."""
+    texts = [prose(40, 33).encode(), "字é \n ß字 a".encode() * 9, b"x" * 90, b" " * 40 + b"a  b", b"ab \xff\x80\x80\x80 c\xe5\xad", b"\x80" * 50, b"", b"a"]
+
+    def got(t):
+        found = defaultdict(Counter)
+        for kind, places in quality.grams(t):
+            found[kind].update(places.tolist())
+        return {kind: c for kind, c in found.items() if c}
+
+    want = [got(t) for t in texts]
+    for size in (1, 2, 3, 4, 5, 7, 16, 37):
+        monkeypatch.setattr(quality, "SEGMENT", size)
+        assert [got(t) for t in texts] == want
+
+
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    """Long texts that differ only in some places, between those of eight parts of 8 KB."""
+    same = prose(4000, 34)[:9000]
+    r = random.Random(35)
+
+    def text(y):
+        gap = " ".join(w + ("" if y else "&&") for w in r.choices(prose(300, 36).split(), k=2000))[:11000]
+        return (same[200:] + gap + same[:200]) * 8
+
+    rows = [(i, text(i % 2), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    model = quality.learn(df.drop("quality"), df.drop("text"), per_class=60)
+    out = {x.doc_id: x.probability >= 0.5 for x in quality.judge(df, model).collect()}
+    assert sum(out[i] == bool(y) for i, _, y in rows) >= 58
+    # In memory or in a file, in one batch or many, rows and weights are the same.
+    monkeypatch.setattr(quality, "HELD", 1000)
+    monkeypatch.setattr(quality, "BATCH", 1000)
+    assert np.array_equal(quality.learn(df.drop("quality"), df.drop("text"), per_class=60).weights, model.weights)
+
+
+def test_quality_features_are_exact():
+    t = ("a " * 300 + prose(3000, 37) + " 字字字").encode()
+    counts = np.zeros(len(quality.KINDS) * quality.DIM)
+    for kind, places in quality.grams(t):
+        np.add.at(counts, places.astype(int) + kind * quality.DIM, 1)
+    at, x = quality._shares(quality._features(t))
+    shares = counts.reshape(len(quality.KINDS), -1) / counts.reshape(len(quality.KINDS), -1).sum(axis=1, keepdims=True)
+    assert np.array_equal(at, np.flatnonzero(counts)) and np.array_equal(x, shares.ravel()[at].astype(np.float32))
+    assert [len(z) for z in quality._shares(quality._features(b""))] == [0, 0]
+    assert quality._shares(quality._features(b"a"))[1].tolist() == [1.0]
+
+
 # --- 6 ---
 
 
