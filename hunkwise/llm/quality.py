@@ -40,8 +40,8 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 BITS = 15
 DIM = 1 << BITS
 KINDS = ("word1", "word2", "char3", "char4", "char5")
-#: Bytes of a text hashed at once, of counts in a worker's batch, and of counts in the driver's memory.
-SEGMENT, BATCH, HELD = 1 << 20, 16 << 20, 128 << 20
+#: Bytes of a text hashed at once, of counts in a worker's batch, sent to the driver at once, and in its memory.
+SEGMENT, BATCH, SENT, HELD = 1 << 20, 16 << 20, 64 << 20, 128 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -263,9 +263,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1200, id_col: str
     scratch = Scratch(docs.sparkSession, "quality")
     found = scratch.put(rows.mapInArrow(lean(run), "_id long, y int, _th long, counts binary").dropDuplicates(keys), "counts")
     order = F.xxhash64("_id", "_th", F.lit(6)).alias("_o")
-    first = found.select(*keys, order).orderBy("_o", "_id", "_th", "y").limit(4 * per_class)
-    got = found.join(F.broadcast(first), keys).select("_o", "_id", "_th", "y", "counts").toLocalIterator()
-    held = Rows(((o, i, th, y), data, y) for o, i, th, y, data in got)
+    first = found.select(*keys, order, F.length("counts").alias("_n")).orderBy("_o", "_id", "_th", "y").limit(4 * per_class)
+    total = first.agg(F.sum("_n")).first()[0] or 0
+    got = found.join(F.broadcast(first), keys).select("_o", "_id", "_th", "y", "counts")
+    if total > SENT:  # files of like texts are small, however much is in them
+        got = got.repartition(1 + total // SENT)
+    held = Rows(((o, i, th, y), data, y) for o, i, th, y, data in got.toLocalIterator())
     scratch.drop("counts")
     return fit(held, counts[1] / (counts[0] + counts[1]))
 

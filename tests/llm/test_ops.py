@@ -588,8 +588,9 @@ def test_quality_learns_from_whole_texts(spark, monkeypatch):
     out = {x.doc_id: x.probability >= 0.5 for x in quality.judge(df, model).collect()}
     assert sum(out[i] == bool(y) for i, _, y in rows) >= 58
     # In memory or in a file, in one batch or many, rows and weights are the same.
-    monkeypatch.setattr(quality, "HELD", 1000)
-    monkeypatch.setattr(quality, "BATCH", 1000)
+    for name in ("HELD", "BATCH"):
+        monkeypatch.setattr(quality, name, 1000)
+    monkeypatch.setattr(quality, "SENT", 300_000)
     assert np.array_equal(quality.learn(df.drop("quality"), df.drop("text"), per_class=60).weights, model.weights)
 
 
